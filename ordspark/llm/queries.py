@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_codec import codec_digests
 from .minhash_dedup import near_duplicates
+from .token_counts import token_counts
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +14,26 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of all documents, digested."""
+    return codec_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op8_bpe_codec": op8_bpe_codec,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
