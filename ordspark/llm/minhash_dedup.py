@@ -12,8 +12,10 @@
    threshold; the others are confirmed on the full shingle sets.
 4. Stars alone can miss a link between two members that both differ from the
    centre.  Buckets whose members still have different components are therefore
-   compared in blocks, member against member of another component, first by
-   sketch and then on full sets.  No bucket is capped.
+   compared in blocks: members outside the bucket's largest component against
+   all others, each pair in the first band where it meets, by sketch and then
+   on full sets.  Blocks emit only links that join components, so what they
+   emit grows with the members and not with the pairs.  No bucket is capped.
 
 A pair at similarity 0.75 shares no bucket with probability
 (1 - 0.75**4)**32 = 5e-6, and lies below the sketch's cut by five standard
@@ -38,8 +40,11 @@ SLOTS = 512
 SURE = 0.64
 #: Unions of so few occupied slots are always confirmed.
 SMALL = 24
-#: Members of one side of a comparison block.
+#: Documents on one side of a block of comparisons.
 BLOCK = 256
+#: Bytes of a document's sketch, and of its band keys (32 bits each) behind it.
+SKETCH = SLOTS // 2
+MARK = SKETCH + 4 * BANDS
 
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7))
 _SLOT_EDGES = (np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - 9))
@@ -128,15 +133,15 @@ def _sign(batches):
             size[i] = len(s)
             if len(s):
                 k1[i], k2[i] = key
-                sk[i] = sketch(s).tobytes()
                 bands[i] = band_keys(signature(s))
+                sk[i] = sketch(s).tobytes() + bands[i].astype("<i4").tobytes()
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(k1), pa.array(k2), pa.array(size), pa.array(sk, pa.binary()), lists], names=[f.name for f in _SIGNED])
 
 
 def _likely_edges(batches):
     for batch in batches:
-        side = [byte_rows(column(batch, c))[0].reshape(-1, SLOTS // 2) if len(batch) else np.zeros((0, SLOTS // 2), np.uint8) for c in ("sa", "sb")]
+        side = [_rows_of(column(batch, c), MARK)[:, :SKETCH] for c in ("sa", "sb")]
         yield batch.filter(pa.array(likely(*side))).select(["a", "b"])
 
 
@@ -146,36 +151,57 @@ def _rows_of(col, width):
 
 
 def _compare_blocks(batches):
-    """Rows sorted by cell: pairs of a cell with different labels and likely sketches."""
+    """Rows sorted by cell: the links that join components within each cell."""
     held = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         held = t if held is None else pa.concat_tables([held, t])
         cell = held.column("cell").to_numpy()
-        cut = int(np.argmax(cell == cell[-1]))  # the last cell may go on in the next batch
+        cut = int(np.argmax(cell == cell[-1])) if len(cell) else 0  # the last cell may go on in the next batch
         if cut:
-            yield from _compare(held.slice(0, cut))
+            yield _compare(held.slice(0, cut))
             held = held.slice(cut)
     if held is not None and len(held):
-        yield from _compare(held)
+        yield _compare(held)
 
 
-def _compare(t: pa.Table):
-    cell, doc, label, part = (t.column(c).to_numpy() for c in ("cell", "doc", "label", "part"))
-    sk = _rows_of(t.column("sketch").combine_chunks(), SLOTS // 2)
-    step = 0
+def _compare(t: pa.Table) -> pa.RecordBatch:
+    """Pairs of a cell with different labels that meet in this band first,
+    tested until their labels are connected."""
+    cell, doc, label, side, band = (t.column(c).to_numpy() for c in ("cell", "doc", "label", "side", "band"))
+    marks = _rows_of(t.column("sketch"), MARK)
+    sk, keys = marks[:, :SKETCH], np.ascontiguousarray(marks[:, SKETCH:]).view("<i4")
+    data, offs = byte_rows(t.column("text"))
+    sets: dict[int, np.ndarray] = {}
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    def full(i):
+        if i not in sets:
+            sets[i] = next(shingle_sets(data, offs[i : i + 2]))
+        return sets[i]
+
+    out, step = [], 0
     while True:
         step += 1
         i = np.flatnonzero(cell[:-step] == cell[step:]) if step < len(cell) else np.zeros(0, int)
         if not len(i):
-            return
-        # cells of two blocks compare across them only; each block has a cell of its own
-        i = i[(label[i] != label[i + step]) & ((part[i] < 0) | (part[i] != part[i + step]))]
+            break
+        i = i[(label[i] != label[i + step]) & ((side[i] < 0) | (side[i] != side[i + step]))]
         for k in range(0, len(i), 8192):
             x = i[k : k + 8192]
-            x = x[likely(sk[x], sk[x + step])]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(doc[x + step]), pa.array(label[x]), pa.array(label[x + step])], names=["a", "b", "la", "lb"])
+            x = x[(keys[x] == keys[x + step]).argmax(axis=1) == band[x]]
+            for a in x[likely(sk[x], sk[x + step])].tolist():
+                b = a + step
+                la, lb = find(int(label[a])), find(int(label[b]))
+                if la != lb and similar(full(a), full(b)):
+                    root[la] = lb
+                    out.append((int(doc[a]), int(doc[b])))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
 def _confirm(batches):
@@ -244,9 +270,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "reps",
     )
 
-    rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = table(rows.join(shared, "bucket").select("bucket", "centre", "size", "rep"), "members")
+    rows = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    members = table(rows.join(shared, "bucket").select("bucket", "band", "centre", "rep"), "members")
 
     sketches = reps.select(F.col("rep").alias("doc"), "sketch")
     star = members.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
@@ -261,31 +287,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(links)
 
     # the rest: buckets that still hold several components
-    tagged = members.select("bucket", "size", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("bucket", "size", F.col("rep").alias("doc"), F.coalesce("label", "rep").alias("label"))
+    tagged = members.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("bucket", "band", F.col("rep").alias("doc"), F.coalesce("label", "rep").alias("label"))
     tagged = table(tagged, "tagged")
-    split = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    parts = F.ceil(F.col("size") / (2 * BLOCK)).cast("int")
-    left = (
-        tagged.join(split, "bucket")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
-            "doc",
-            "label",
-            F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part")).alias("part"),
-        )
+    split = (
+        tagged.groupBy("bucket", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("main"))
+        .where("labels > 1")
+        .select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / (2 * BLOCK)).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("main.n")) / (2 * BLOCK)).cast("int").alias("n_rest"))
     )
-    # a cell of two blocks holds part and other, both marked with their own number
-    left = left.join(sketches, "doc").select("cell", "doc", "label", "part", "sketch").repartition("cell").sortWithinPartitions("cell")
-    rest = table(left.mapInArrow(_compare_blocks, "a long, b long, la long, lb long"), "rest").distinct()
-    rest = table(rest, "pairs")
-    weight = rest.select(F.explode(F.array("la", "lb")).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("w"))
-    rest = rest.join(weight.select(F.col("l").alias("la"), F.col("w").alias("wa")), "la").join(weight.select(F.col("l").alias("lb"), F.col("w").alias("wb")), "lb")
-    flip = (F.col("wa") > F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("la") < F.col("lb")))
-    rest = rest.select(F.when(flip, F.col("la")).otherwise(F.col("lb")).alias("hub"), F.when(flip, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("b"))
-    more = table(_confirmed(rest, texts, "hub"), "more")
+    left = tagged.join(split, "bucket").withColumn("part", F.pmod(F.xxhash64("doc"), F.when(F.col("label") == F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    cell = lambda kind, x, y, side: F.struct(F.xxhash64("bucket", F.lit(kind), x, y).alias("cell"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # cell (0, r, p): the rest's block r against the main component's block p, and against itself where p is 0
+    of_main = F.transform(upto("n_rest"), lambda r: cell(0, r, F.col("part"), F.lit(1)))
+    of_rest = F.transform(upto("n_main"), lambda p: cell(0, F.col("part"), p, F.when(p == 0, -1).otherwise(0)))
+    # cell (1, r, q): two blocks of the rest
+    across = F.transform(F.filter(upto("n_rest"), lambda q: q != F.col("part")), lambda q: cell(1, F.least("part", q), F.greatest("part", q), F.when(F.col("part") < q, 2).otherwise(3)))
+    left = left.select("doc", "label", "band", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(of_rest, across))).alias("x")).select("x.cell", "x.side", "doc", "label", "band")
+    left = left.join(sketches, "doc").join(texts, "doc").select("cell", "side", "doc", "label", "band", "sketch", "text").repartition("cell").sortWithinPartitions("cell")
+    more = table(left.mapInArrow(_compare_blocks, "a long, b long"), "more")
 
     label = table(components(links.union(more)), "label")
     named = reps.select("k1", "k2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
