@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup, line_dedup
 from .bpe_codec import codec_digests
 from .minhash_dedup import near_duplicates
+from .mixing import mix_report
 from .token_counts import token_counts
 
 
@@ -14,6 +16,21 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later occurrences of three-line windows."""
+    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal-text groups of all documents."""
+    return exact_dedup.exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -32,8 +49,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_mixing": op6_mixing,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+}
