@@ -27,13 +27,13 @@ from .common import column
 from .pretokens import Memo
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 8_000
+SAMPLE = 6_000
 DIMENSIONS = 1 << 18
 #: Features seen in fewer fitted documents have no weight.
 LEAST = 4
 GRADES = 3
 #: A document is kept if its top grade is at least this likely.
-KEEP = 0.5
+KEEP = 0.4
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _MARKS = regex.compile(r"([^\p{L}\p{N}\s])\1+")
@@ -46,7 +46,7 @@ def _slot(name: str) -> int:
 def _word(word: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
     """(slots of a word's own features, shapes it counts for)."""
     core = _EDGE.sub("", word).lower()
-    slots = (_slot(f"w:{core}"), _slot(f"p:{core[:6]}")) if len(core) > 2 else ()
+    slots = (_slot(f"w:{core}"), *(_slot(f"p:{core[:k]}") for k in (4, 5, 6, 7) if len(core) > k)) if len(core) > 2 else ()
     shapes = []
     if not core:
         shapes.append("mark")
@@ -99,25 +99,33 @@ class Model:
         return [1.0 / (1.0 + math.exp(min(50.0, max(-50.0, t - score)))) for t in self.thresholds]
 
 
-def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: float = 0.3, penalty: float = 2e-4) -> Model | None:
+def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, rate: float = 0.2, penalty: float = 1e-3) -> Model | None:
     """Cumulative-logit likelihood with an L1 penalty, by proximal AdaGrad over
-    all rows.  None if fewer than two grades occur."""
+    all rows.  Every 50 rounds the features that have no weight then leave.
+    None if fewer than two grades occur."""
     grades = np.asarray(grades, dtype=np.int64)
     if len(np.unique(grades)) < 2:
         return None
     n = len(grades)
     rows = np.repeat(np.arange(n), [len(s) for s in slots])
     cols = np.concatenate(slots).astype(np.int64)
-    seen = np.bincount(cols, minlength=DIMENSIONS)
-    used = seen[cols] >= LEAST
-    rows, cols = rows[used], cols[used]
-    w = np.zeros(DIMENSIONS)
+    names, cols, seen = np.unique(cols, return_inverse=True, return_counts=True)
+    keep = seen >= LEAST
+    w = np.zeros(len(names))
+    g2 = np.full(len(names), 1e-8)
+
+    def narrowed():
+        nonlocal names, rows, cols, w, g2
+        at, new = keep[cols], np.cumsum(keep) - 1
+        rows, cols, names, w, g2 = rows[at], new[cols[at]], names[keep], w[keep], g2[keep]
+
+    narrowed()
     share = np.array([(grades > j).mean() for j in range(GRADES - 1)]).clip(1e-3, 1 - 1e-3)
     t = -np.log(share / (1 - share))
     t = np.maximum.accumulate(t + np.arange(GRADES - 1) * 1e-3)
-    g2, t2 = np.full(DIMENSIONS, 1e-8), np.full(GRADES - 1, 1e-8)
+    t2 = np.full(GRADES - 1, 1e-8)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for _ in range(rounds):
+    for nth in range(1, rounds + 1):
         score = np.bincount(rows, w[cols], minlength=n)
         # upper = P(grade >= g), lower = P(grade >= g + 1); the likelihood of a row is their difference
         cuts = np.concatenate(([-np.inf], t, [np.inf]))
@@ -125,15 +133,20 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: fl
         p = np.maximum(upper - lower, 1e-9)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         slope = (du - dl) / n  # of the log-likelihood, by the score
-        gw = -np.bincount(cols, slope[rows], minlength=DIMENSIONS)
+        gw = -np.bincount(cols, slope[rows], minlength=len(names))
         gt = np.array([du[grades == j + 1].sum() - dl[grades == j].sum() for j in range(GRADES - 1)]) / n
         g2 += gw**2
         t2 += gt**2
         step = rate / np.sqrt(g2)
         w = w - step * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty * (seen >= LEAST), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         t = np.maximum.accumulate(t - rate / np.sqrt(t2) * gt)
-    return Model(w, t)
+        if nth % 50 == 0:
+            keep = w != 0
+            narrowed()
+    weights = np.zeros(DIMENSIONS)
+    weights[names] = w
+    return Model(weights, t)
 
 
 def _features_of(batches):
