@@ -1,4 +1,574 @@
-"""Driver queries of the library and their SQL."""
+"""Driver queries of the library and equivalent DuckDB SQL.
+
+Real-text queries use a lexicon that both engines derive from ``documents``: a
+word that occurs at least five times is known, and a known word in -s has the
+word without it as a second, more likely lemma if that is known too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import resources as R
+from .functions import grammar as G
+from .functions.tokenize import KINDS, PATTERN, WORD, kind_of, naive_tokens, normal_form, tokenize, words_of
+from .operators import bloom, compounds, disambiguate, evaluate, lexicon, ngrams, phrases, search, stopwords, unknown
+from .plans import pipeline
+from .sources.lexicons import sample_documents
 
 QUERIES = {}
 ORACLES = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- shared pieces
+
+_W = WORD.replace("'", "''")
+SMALL_STOPWORDS = ("the", "of", "and", "a", "de", "la", "le", "el", "der", "die", "und", "en")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def _words(docs: DataFrame, *keep: str) -> DataFrame:
+    return docs.select("doc_id", *keep, F.posexplode(words_of(F.col("text"))).alias("pos", "text")).withColumn("word", F.lower("text"))
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns as small documents."""
+    t = spark.read.parquet(f"{sf}/conversations.parquet")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
+
+def _unigrams(spark: SparkSession, sf: str, least: int = 5) -> DataFrame:
+    return ngrams.unigrams_from_words(_words(_docs(spark, sf)), least)
+
+
+def _entries(uni: DataFrame) -> DataFrame:
+    """Entries of the derived lexicon."""
+    stem = uni.select(F.col("word").alias("stem"))
+    both = uni.join(stem, (F.concat("stem", F.lit("s")) == F.col("word")) & (F.length("stem") >= 2), "left")
+    lemmas = F.when(F.col("stem").isNotNull(), F.array("stem", "word")).otherwise(F.array("word"))
+    null = F.lit(None).cast("string")
+    return both.select("word", F.explode(lemmas).alias("lemma"), F.lit("no").alias("pos"), null.alias("gcase"), null.alias("gender"), null.alias("gnumber"))
+
+
+def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    uni = _unigrams(spark, sf)
+    return lexicon.rank_entries(_entries(uni), uni)
+
+
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.nest(_lexicon(spark, sf))
+
+
+_WORDS = f"""w AS (
+  SELECT doc_id, lang, unnest(range(len(ws))) AS pos, unnest(ws) AS text, lower(unnest(ws)) AS word FROM (SELECT doc_id, lang, regexp_extract_all(text, '{_W}', 0) AS ws FROM documents)
+)"""
+_TURNS = f"""tw AS (
+  SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS text, lower(unnest(ws)) AS word FROM (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '{_W}', 0) AS ws FROM conversations)
+)"""
+_UNI = """uni AS (SELECT word, count(*) AS freq FROM w GROUP BY word HAVING count(*) >= 5)"""
+_LEX = """ent AS (
+  SELECT u.word, s.word AS lemma FROM uni u JOIN uni s ON s.word || 's' = u.word AND length(s.word) >= 2 UNION ALL SELECT word, word FROM uni
+), lex AS (
+  SELECT e.word, e.lemma, 'no' AS pos, row_number() OVER (PARTITION BY e.word ORDER BY f.freq DESC, e.lemma) AS rank FROM ent e JOIN uni f ON f.word = e.lemma
+), nest AS (SELECT word, list(lemma ORDER BY rank) AS lemmas FROM lex GROUP BY word)"""
+_BASE = f"WITH {_WORDS}, {_UNI}, {_LEX}"
+
+
+# -- tokens
+
+
+@query(r"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t[1:3], ' ') AS head FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\s\x{A0}]+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS t FROM documents)""")
+def tokenize_naive(spark, sf):
+    """Naive tokens of every document: their number and the first three."""
+    t = naive_tokens(F.col("text"))
+    return _docs(spark, sf).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 3), " ").alias("head"))
+
+
+_KIND_SQL = "CASE " + " ".join(f"WHEN regexp_full_match(token, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in sorted(KINDS, key=lambda x: x[0] not in ("word", "space"))) + " ELSE 'punctuation' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM (SELECT doc_id, regexp_extract_all(text, '{PATTERN.replace(chr(39), chr(39) * 2)}', 0) AS ts FROM documents)),
+o AS (SELECT *, coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, {_KIND_SQL} AS kind FROM t)
+SELECT doc_id, kind, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(start + length(token)) AS BIGINT) AS ends FROM o WHERE kind <> 'space' GROUP BY doc_id, kind""")
+def tokenize_offsets(spark, sf):
+    """Token kinds per document with sums of their offsets."""
+    return tokenize(_docs(spark, sf)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+@query("""WITH t AS (
+  SELECT 'date' AS kind, strftime(o_orderdate, '%Y-%m-%d') AS token, strftime(o_orderdate, '%Y-%m-%d') AS normal FROM orders
+  UNION ALL SELECT 'date', CAST(day(o_orderdate) AS VARCHAR) || '.' || CAST(month(o_orderdate) AS VARCHAR) || '.' || CAST(year(o_orderdate) AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d') FROM orders
+  UNION ALL SELECT 'time', strftime(ts, '%H:%M:%S'), CASE WHEN second(ts) > 0 THEN strftime(ts, '%H:%M:%S') ELSE strftime(ts, '%H:%M') END FROM events
+  UNION ALL SELECT 'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%S'), strftime(ts, '%Y-%m-%dT%H:%M:%S') FROM events
+  UNION ALL SELECT 'hashtag', '#' || upper(event_type), '#' || lower(event_type) FROM events
+  UNION ALL SELECT 'username', '@User' || user_id, '@user' || user_id FROM events
+  UNION ALL SELECT 'amount', '$' || o_orderkey, o_orderkey || ' USD' FROM orders
+  UNION ALL SELECT 'amount', o_orderkey || ' kr', o_orderkey || ' ISK' FROM orders
+  UNION ALL SELECT 'percent', o_orderkey || ',5%', o_orderkey || '.5%' FROM orders
+  UNION ALL SELECT 'measurement', o_orderkey || 'km', o_orderkey || ' m' FROM orders
+  UNION ALL SELECT 'url', url, url FROM pages
+) SELECT kind, token, normal, count(*) AS n FROM t GROUP BY kind, token, normal""")
+def normalize_tokens(spark, sf):
+    """Kinds and normal forms of dates, times, amounts, … rendered from the tables."""
+    o, e, p = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "events", "pages"))
+    d, k = F.col("o_orderdate"), F.col("o_orderkey").cast("string")
+    parts = [
+        o.select(F.date_format(d, "yyyy-MM-dd").alias("token")),
+        o.select(F.date_format(d, "d.M.yyyy")),
+        e.select(F.date_format("ts", "HH:mm:ss")),
+        e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")),
+        e.select(F.concat(F.lit("#"), F.upper("event_type"))),
+        e.select(F.concat(F.lit("@User"), F.col("user_id").cast("string"))),
+        o.select(F.concat(F.lit("$"), k)),
+        o.select(F.concat(k, F.lit(" kr"))),
+        o.select(F.concat(k, F.lit(",5%"))),
+        o.select(F.concat(k, F.lit("km"))),
+        p.select("url"),
+    ]
+    t = parts[0]
+    for x in parts[1:]:
+        t = t.union(x)
+    t = t.withColumn("kind", kind_of(F.col("token")))
+    return t.withColumn("normal", normal_form(F.col("kind"), F.col("token"))).groupBy("kind", "token", "normal").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- n-grams and lexicons
+
+
+@query(f"WITH {_WORDS}, {_UNI} SELECT word, freq FROM uni")
+def unigrams_min5(spark, sf):
+    """Words that occur at least five times."""
+    return _unigrams(spark, sf)
+
+
+_PAIRS = "pairs AS (SELECT text AS w1, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM w)"
+_VALID = lambda c: f"({c} <> '' AND NOT regexp_matches({c}, '^[\\[<]') AND (length({c}) > 1 OR regexp_full_match({c}, '\\p{{L}}')))"
+
+
+@query(f"WITH {_WORDS}, {_PAIRS} SELECT w1, w2, count(*) AS freq FROM pairs WHERE w2 IS NOT NULL AND {_VALID('w1')} AND {_VALID('w2')} GROUP BY w1, w2 HAVING count(*) >= 3")
+def bigrams_min3(spark, sf):
+    """Pairs of neighbours that occur at least three times."""
+    return ngrams.bigrams_from_words(_words(_docs(spark, sf)), 3, None, word="text")
+
+
+@query(f"""WITH {_WORDS}, {_PAIRS}, c AS (SELECT w1, w2, count(*) AS freq FROM pairs WHERE w2 IS NOT NULL AND {_VALID('w1')} AND {_VALID('w2')} GROUP BY w1, w2 HAVING count(*) >= 2)
+SELECT w1, w2, freq FROM (SELECT *, row_number() OVER (PARTITION BY w1 ORDER BY freq DESC, w2) AS n FROM c) WHERE n <= 5""")
+def bigram_top_successors(spark, sf):
+    """The five most frequent successors of every word."""
+    return ngrams.bigrams_from_words(_words(_docs(spark, sf)), 2, 5, word="text")
+
+
+@query(f"{_BASE} SELECT word, rank, lemma, pos FROM lex")
+def lexicon_rank(spark, sf):
+    """The derived lexicon with its ranked readings."""
+    return _lexicon(spark, sf).select("word", F.col("rank").cast("long").alias("rank"), "lemma", "pos")
+
+
+@query(f"{_BASE}, top AS (SELECT word FROM uni WHERE freq >= 20 ORDER BY freq DESC, word LIMIT 300) SELECT word, lemma FROM ent WHERE word IN (SELECT word FROM top)")
+def lexicon_top_words(spark, sf):
+    """Entries of the 300 most frequent words of frequency 20 and more."""
+    uni = _unigrams(spark, sf)
+    return lexicon.limit_words(_entries(uni), uni, 300, 20).select("word", "lemma")
+
+
+@query(f"{_BASE} SELECT lemma, list_aggregate(list_sort(list(word)), 'string_agg', ' ') AS forms FROM ent GROUP BY lemma")
+def lemma_forms(spark, sf):
+    """Every lemma's forms."""
+    return lexicon.word_forms(_lexicon(spark, sf)).select("lemma", F.array_join("forms", " ").alias("forms"))
+
+
+_MARKS = (("NFET", "kk", "nf", "kk", "et"), ("ÞGFETgr", "kk", "þgf", "kk", "et"), ("ÞFFT", "kvk", "þf", "kvk", "ft"), ("EFFTgr", "hk", "ef", "hk", "ft"), ("GM-VH-NT-1P-ET", "so", None, None, "et"), ("", "hk", None, None, None), ("FSB-KK-NFET", "lo", "nf", None, "et"))
+_sql = lambda v: "NULL" if v is None else f"'{v}'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, (m, w, *rest, R.WORD_CLASS_MAP.get(w, w[:2])))) + ")" for m, w, *rest in _MARKS) + ") AS t(mark, word_class, gcase, gender, gnumber, pos)")
+def lexicon_parse_mark(spark, sf):
+    """Inflection marks and word classes of dictionary rows."""
+    t = spark.createDataFrame([x[:2] for x in _MARKS], "mark string, word_class string").withColumn("m", lexicon.parse_mark(F.col("mark"), F.col("word_class")))
+    return t.select("mark", "word_class", "m.*", lexicon.word_class_to_pos(F.col("word_class")).alias("pos"))
+
+
+@query(f"{_BASE} SELECT count(DISTINCT lemma) AS lemmas, count(DISTINCT word) AS forms, count(*) AS entries, false AS has_morphology, CAST(0 AS BIGINT) AS bigrams FROM lex")
+def lexicon_counters(spark, sf):
+    """Counters of the derived lexicon."""
+    return lexicon.describe(_lexicon(spark, sf))
+
+
+@query(f"{_BASE}, {_TURNS} SELECT DISTINCT t.word, coalesce(array_to_string(n.lemmas, ' '), t.word) AS lemmas, coalesce(n.lemmas[1], t.word) AS first, n.word IS NOT NULL AS known FROM tw t LEFT JOIN nest n ON n.word = t.word")
+def lemmatize(spark, sf):
+    """All lemmas of every word of the conversations, without fallback."""
+    looked = unknown.word_lemmas(_words(_turns(spark, sf)), _nested(spark, sf), strip=False)
+    return looked.select("word", F.array_join("lemmas", " ").alias("lemmas"), F.get("lemmas", F.lit(0)).alias("first"), "known")
+
+
+_SUFFIXES = "sfx(i, s) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(R.UNKNOWN_SUFFIXES)) + ")"
+
+
+def _round_sql(src: str, out: str) -> str:
+    return f"""{out}_c AS (
+  SELECT c.word, c.cur, x.i, left(c.cur, length(c.cur) - length(x.s)) AS stem FROM {src} c JOIN sfx x ON ends_with(c.cur, x.s) AND length(c.cur) - length(x.s) >= 2
+), {out}_l AS (SELECT c.*, coalesce(n.lemmas, [c.stem]) AS lemmas FROM {out}_c c LEFT JOIN nest n ON n.word = c.stem),
+{out} AS (
+  SELECT word, min(i) FILTER (lemmas <> [stem]) AS hit, arg_min(lemmas, i) FILTER (lemmas <> [stem]) AS lemmas, min(i) FILTER (lemmas = [stem]) AS fi, arg_min(stem, i) FILTER (lemmas = [stem]) AS first FROM {out}_l GROUP BY word
+)"""
+
+
+@query(f"""{_BASE}, {_TURNS}, {_SUFFIXES}, s1 AS (SELECT DISTINCT word, word AS cur FROM tw WHERE word NOT IN (SELECT word FROM uni) AND length(word) >= 4),
+{_round_sql('s1', 'r1')}, s2 AS (SELECT word, first AS cur FROM r1 WHERE hit IS NULL AND length(first) >= 4), {_round_sql('s2', 'r2')},
+f AS (
+  SELECT r1.word, list_concat(CASE WHEN r1.first IS NOT NULL AND (r1.hit IS NULL OR r1.fi < r1.hit) THEN [r1.first] ELSE [] END, coalesce(r1.lemmas, []),
+    CASE WHEN r2.first IS NOT NULL AND (r2.hit IS NULL OR r2.fi < r2.hit) THEN [r2.first] ELSE [] END, coalesce(r2.lemmas, [])) AS all_ FROM r1 LEFT JOIN r2 ON r1.word = r2.word
+), u AS (SELECT word, unnest(all_) AS x, unnest(range(len(all_))) AS i FROM f), d AS (SELECT word, x, min(i) AS i FROM u GROUP BY word, x)
+SELECT word, string_agg(x, ' ' ORDER BY i) AS fallback FROM d GROUP BY word""")
+def suffix_fallback(spark, sf):
+    """Fallback lemmas of words of the conversations that the derived lexicon lacks."""
+    nested = _nested(spark, sf)
+    words = unknown.word_lemmas(_words(_turns(spark, sf)), nested, strip=False).where("not known").select("word")
+    return unknown.suffix_fallback(words, nested).select("word", F.array_join("fallback", " ").alias("fallback"))
+
+
+_KNOWN = "known AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 20)"
+_CUTS = f"""q AS (SELECT DISTINCT word FROM tw WHERE length(word) BETWEEN 6 AND 20), cut AS (
+  SELECT word, i, left(word, i) AS l, substr(word, i + 1) AS r FROM (SELECT word, unnest(range(3, length(word) - 2)) AS i FROM q)
+), cuts AS (
+  SELECT word, 2 * i AS ord, 1.0::DOUBLE AS factor, l, r FROM cut UNION ALL SELECT word, 2 * i + 1, 0.95::DOUBLE, left(l, length(l) - 1), r FROM cut WHERE right(l, 1) IN ('s', 'u', 'a') AND length(l) > 3
+), good AS (SELECT * FROM cuts WHERE l IN (SELECT word FROM known) AND r IN (SELECT word FROM known)),
+scored AS (
+  SELECT *, round(greatest(0.2::DOUBLE * (1 - abs(length(l) - length(r))::DOUBLE / (length(l) + length(r))) + 0.2::DOUBLE * least((length(l) + length(r))::DOUBLE / 2 / 6, 1)
+    + CASE WHEN r IN ({', '.join(map(_sql, R.COMPOUND_TAILS))}) THEN 0.3::DOUBLE ELSE 0 END
+    + CASE WHEN l IN ({', '.join(map(_sql, R.COMMON_STANDALONE))}) THEN CASE WHEN r IN ({', '.join(map(_sql, R.COMMON_STANDALONE))}) THEN -0.3::DOUBLE ELSE 0 END
+      WHEN r IN ({', '.join(map(_sql, R.COMMON_STANDALONE))}) THEN 0 ELSE 0.2::DOUBLE END
+    - CASE WHEN length(l) < 4 OR length(r) < 4 THEN 0.15::DOUBLE ELSE 0 END, 0) * factor, 12) AS score FROM good
+)"""
+
+
+def _compound_input(spark, sf):
+    known = _unigrams(spark, sf, 20).select(F.col("word").alias("lemma"))
+    words = _words(_turns(spark, sf)).select("word").distinct().where(F.length("word").between(6, 20))
+    return words, spark.createDataFrame([], "word string, entries array<struct<rank:int,lemma:string,pos:string,gcase:string,gender:string,gnumber:string>>"), known
+
+
+@query(f"WITH {_WORDS}, {_TURNS}, {_KNOWN}, {_CUTS} SELECT word, l AS left_part, r AS right_part, round(score, 6) AS score FROM scored")
+def compound_candidates(spark, sf):
+    """Every cut of conversation words into two known parts, with its score."""
+    return compounds.split_candidates(*_compound_input(spark, sf)).select("word", F.col("left").alias("left_part"), F.col("right").alias("right_part"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_WORDS}, {_TURNS}, {_KNOWN}, {_CUTS}, best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, ord) AS n FROM scored WHERE word NOT IN ({', '.join(map(_sql, R.PROTECTED_LEMMAS))}))
+SELECT word, CASE WHEN l = r THEN l ELSE l || ' ' || r END AS parts, round(least(score, 1), 6) AS confidence FROM best WHERE n = 1""")
+def compound_best(spark, sf):
+    """The best split of every conversation word that has one."""
+    words, nested, known = _compound_input(spark, sf)
+    looked = words.withColumn("lemmas", F.array("word"))
+    return compounds.split_compounds(looked, nested, known).where("is_compound").select("word", F.array_join("parts", " ").alias("parts"), F.round("confidence", 6).alias("confidence"))
+
+
+# -- stopwords, grammar, disambiguation
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, count(*) FILTER (word NOT IN ({', '.join(map(_sql, SMALL_STOPWORDS))})) AS kept, count(*) FILTER (word IN ({', '.join(map(_sql, SMALL_STOPWORDS))})) AS stopped FROM w GROUP BY doc_id")
+def stopword_filter(spark, sf):
+    """Words kept and stopped per document."""
+    stop = stopwords.is_stopword(F.col("text"), SMALL_STOPWORDS)
+    return _words(_docs(spark, sf)).groupBy("doc_id").agg(F.sum((~stop).cast("long")).alias("kept"), F.sum(stop.cast("long")).alias("stopped"))
+
+
+_STOP_CASES = (("á", "fs", True), ("á", "so", False), ("á", "no", False), ("Á", None, True), ("við", "fn", True), ("við", "no", False), ("úr", "no", False), ("hestur", "no", False), ("og", "st", True), ("og", None, True))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(a)}, {_sql(b)}, {str(c).lower()})" for a, b, c in _STOP_CASES) + ") AS t(lemma, pos, stop)")
+def contextual_stopword(spark, sf):
+    """Stopwords that depend on the word class."""
+    t = spark.createDataFrame([x[:2] for x in _STOP_CASES], "lemma string, pos string")
+    return t.select("lemma", "pos", stopwords.is_contextual_stopword(F.col("lemma"), F.col("pos")).alias("stop"))
+
+
+@query(f"""WITH {_WORDS} SELECT word, CASE WHEN regexp_matches(word, '(unum|inum|inni|inu)$') THEN 'þgf' WHEN regexp_matches(word, '(innar|nna|ins)$') THEN 'ef'
+  WHEN regexp_matches(word, '(inn|ið|nar|nir)$') THEN 'nf þf' WHEN regexp_matches(word, 'ina$') THEN 'þf' ELSE '' END AS cases FROM (SELECT DISTINCT word FROM w)""")
+def infer_case_suffix(spark, sf):
+    """Cases that endings tell, for every distinct word."""
+    return _words(_docs(spark, sf)).select("word").distinct().select("word", F.array_join(G.infer_case(F.col("word")), " ").alias("cases"))
+
+
+_A = [("á", "fs", None), ("eiga", "so", None), ("á", "no", None)]
+_GRAMMAR = (
+    ("pronoun_verb", _A, "ég", [], None, [], ("eiga", "so", "pronoun+verb")),
+    ("pronoun_none", [("á", "fs", None)], "ég", [], None, [], None),
+    ("other_before", _A, "hestur", [], None, [], None),
+    ("preposition", _A, None, [], "borðinu", [("borð", "no", "þgf")], ("á", "fs", "prep+þgf")),
+    ("wrong_case", [("til", "fs", None)], None, [], "borðinu", [("borð", "no", "þgf")], None),
+    ("noun_after", [("fundur", "no", "ef"), ("funda", "so", None)], "til", [("til", "fs", None)], None, [], ("fundur", "no", "noun_after_prep+ef")),
+    ("noun_wrong_case", [("fundur", "no", "þgf")], "til", [("til", "fs", None)], None, [], None),
+    ("unclear_pronoun", [("fara", "so", None), ("fóra", "no", "þgf")], "við", [("við", "fs", None), ("ég", "fn", None)], None, [], ("fara", "so", "pronoun+verb")),
+    ("noun_only", [("fundur", "no", "þgf")], "við", [("við", "fs", None), ("ég", "fn", None)], None, [], ("fundur", "no", "noun_after_prep+þgf")),
+    ("order", [("á", "fs", None), ("eiga", "so", None)], "ég", [], "bíl", [("bíll", "no", "þf")], ("á", "fs", "prep+þf")),
+    ("subject", [("á", "fs", None), ("eiga", "so", None)], "barnið", [("barn", "no", None)], "leikfangið", [("leikfang", "no", None)], ("eiga", "so", "subject+verb+obj")),
+    ("dative_object", [("á", "fs", None), ("eiga", "so", None)], "bókin", [("bók", "no", None)], "borðinu", [("borð", "no", None)], None),
+)
+_ENTRY3 = "array<struct<lemma:string,pos:string,gcase:string>>"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {', '.join(map(_sql, want or (None, None, None)))})" for n, *_, want in _GRAMMAR) + ") AS t(name, lemma, pos, rule)")
+def grammar_rules(spark, sf):
+    """The four grammar rules in their order, on fixtures."""
+    t = spark.createDataFrame([x[:6] for x in _GRAMMAR], f"name string, c {_ENTRY3}, prev string, before {_ENTRY3}, next string, after {_ENTRY3}")
+    return t.withColumn("g", G.grammar(F.col("c"), F.col("prev"), F.col("before"), F.col("next"), F.col("after"))).select("name", "g.lemma", "g.pos", "g.rule")
+
+
+_CASCADE = f"""bi AS (SELECT lower(w1) AS w1, lower(w2) AS w2, count(*) AS freq FROM (SELECT word AS w1, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM w) WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3),
+ctx AS (
+  SELECT t.doc_id, t.pos, t.word, coalesce(n.lemmas, []) AS readings, coalesce(n.lemmas, [t.word]) AS lemmas FROM tw t LEFT JOIN nest n ON n.word = t.word
+), nb AS (SELECT *, lag(lemmas) OVER p AS prev, lead(lemmas) OVER p AS next FROM ctx WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+cand AS (SELECT doc_id, pos, prev, next, unnest(readings) AS lemma, unnest(range(len(readings))) AS i FROM nb WHERE len(readings) > 1),
+sided AS (
+  SELECT doc_id, pos, i, lemma, unnest(prev) AS w1, lemma AS w2 FROM cand UNION ALL SELECT doc_id, pos, i, lemma, lemma, unnest(next) FROM cand
+), score AS (
+  SELECT c.doc_id, c.pos, c.i, c.lemma, round(coalesce(sum(ln(1 + b.freq)), 0), 12) AS score FROM cand c LEFT JOIN sided s ON s.doc_id = c.doc_id AND s.pos = c.pos AND s.i = c.i LEFT JOIN bi b ON b.w1 = s.w1 AND b.w2 = s.w2 GROUP BY ALL
+), best AS (
+  SELECT doc_id, pos, max(score) AS top, first(lemma ORDER BY score DESC, i) AS lemma, sum(exp(score)) AS total FROM score GROUP BY doc_id, pos
+)"""
+
+
+def _lemma_bigrams(spark, sf):
+    return ngrams.bigrams_from_words(_words(_docs(spark, sf)), 3, None)
+
+
+@query(f"""{_BASE}, {_TURNS}, {_CASCADE}
+SELECT n.doc_id, n.pos, CASE WHEN len(n.readings) = 0 THEN n.word WHEN len(n.readings) = 1 THEN n.readings[1] WHEN b.top > 0 THEN b.lemma ELSE n.readings[1] END AS lemma,
+  round(CASE WHEN len(n.readings) = 0 THEN 0 WHEN len(n.readings) = 1 THEN 1 WHEN b.top > 0 THEN exp(b.top) / b.total ELSE 1.0 / len(n.readings) END::DOUBLE, 6) AS confidence,
+  CASE WHEN len(n.readings) = 0 THEN 'none' WHEN len(n.readings) = 1 THEN 'unambiguous' WHEN b.top > 0 THEN 'word_bigrams' ELSE 'fallback' END AS resolved_by
+FROM nb n LEFT JOIN best b ON b.doc_id = n.doc_id AND b.pos = n.pos""")
+def disambiguate_cascade(spark, sf):
+    """One lemma for every word of the conversations, by the phases in order."""
+    nested = _nested(spark, sf)
+    words = _words(_turns(spark, sf))
+    looked = unknown.word_lemmas(words, nested, strip=False)
+    out = disambiguate.disambiguate(words.join(looked, "word"), _lemma_bigrams(spark, sf))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "lemma", F.round("confidence", 6).alias("confidence"), "resolved_by")
+
+
+# -- index terms and search
+
+
+def _tokens(spark, sf, docs, bigrams=False, **options):
+    return pipeline.process_text(docs, _nested(spark, sf), _lemma_bigrams(spark, sf) if bigrams else None, options=pipeline.Options(strip_unknown_suffixes=False, **options))
+
+
+_POST = "post AS (SELECT DISTINCT w.doc_id, w.lang, unnest(coalesce(n.lemmas, [w.word])) AS lemma FROM w LEFT JOIN nest n ON n.word = w.word)"
+
+
+@query(f"{_BASE}, {_POST} SELECT lang, lemma, count(*) AS n_docs FROM post GROUP BY lang, lemma")
+def index_terms(spark, sf):
+    """Index terms of the documents: documents per language and lemma.
+
+    The fast path: word tokens, one lookup per distinct word and document.
+    """
+    words = _words(_docs(spark, sf), "lang").select("doc_id", "lang", "word").distinct()
+    lemmas = unknown.word_lemmas(words, _nested(spark, sf), strip=False).select("word", "lemmas")
+    terms = words.join(lemmas, "word").select("doc_id", "lang", F.explode("lemmas").alias("lemma")).distinct()
+    return terms.groupBy("lang", "lemma").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+_TPOST = "tpost AS (SELECT t.doc_id, t.pos, unnest(coalesce(n.lemmas, [t.word])) AS lemma, unnest(range(len(coalesce(n.lemmas, [t.word])))) AS nth FROM tw t LEFT JOIN nest n ON n.word = t.word)"
+
+
+@query(f"""{_BASE}, {_TURNS}, {_TPOST}, f AS (SELECT doc_id, lemma, min(pos * 1000 + nth) AS first FROM tpost WHERE lemma NOT IN ({', '.join(map(_sql, SMALL_STOPWORDS))}) GROUP BY doc_id, lemma)
+SELECT doc_id, string_agg(lemma, ' ' ORDER BY first) AS terms FROM f GROUP BY doc_id""")
+def document_terms(spark, sf):
+    """Index terms of every conversation turn in order of first occurrence, without stopwords.
+
+    Numbers and other kinds do not occur in these texts' words; only words count here.
+    """
+    options = pipeline.Options(remove_stopwords=True)
+    tokens = _tokens(spark, sf, _turns(spark, sf)).where("kind = 'word'")
+    return pipeline.index_terms(tokens, options, SMALL_STOPWORDS).select("doc_id", F.array_join("terms", " ").alias("terms"))
+
+
+def _bench(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+
+
+_BENCH = f"""bw AS (
+  SELECT doc_id, unnest(range(len(ws))) AS pos, lower(unnest(ws)) AS word FROM (SELECT item_id AS doc_id, regexp_extract_all(text, '{_W}', 0) AS ws FROM benchmark)
+), bg AS (SELECT b.doc_id, b.pos, coalesce(n.lemmas, [b.word]) AS g FROM bw b LEFT JOIN nest n ON n.word = b.word)"""
+
+
+@query(f"{_BASE}, {_BENCH} SELECT doc_id, string_agg(CASE WHEN len(g) > 1 THEN '(' || array_to_string(g, ' | ') || ')' ELSE g[1] END, ' & ' ORDER BY pos) AS query FROM bg GROUP BY doc_id")
+def search_query_string(spark, sf):
+    """Boolean queries of the benchmark texts."""
+    tokens = _tokens(spark, sf, _bench(spark, sf)).where("kind = 'word'")
+    return pipeline.search_queries(tokens).select("doc_id", "query")
+
+
+@query(f"""{_BASE}, {_POST}, {_BENCH}, n AS (SELECT doc_id AS query_id, count(*) AS n FROM bg GROUP BY 1),
+hit AS (SELECT b.doc_id AS query_id, p.doc_id, count(DISTINCT b.pos) AS got FROM (SELECT doc_id, pos, unnest(g) AS lemma FROM bg) b JOIN post p ON p.lemma = b.lemma GROUP BY 1, 2)
+SELECT h.query_id, h.doc_id FROM hit h JOIN n ON n.query_id = h.query_id AND n.n = h.got""")
+def search_match(spark, sf):
+    """Documents that match all groups of a benchmark query."""
+    tokens = _tokens(spark, sf, _bench(spark, sf)).where("kind = 'word'")
+    queries = pipeline.search_queries(tokens).select(F.col("doc_id").alias("query_id"), "groups")
+    words = _words(_docs(spark, sf)).select("doc_id", "word").distinct()
+    lemmas = unknown.word_lemmas(words, _nested(spark, sf), strip=False).select("word", "lemmas")
+    return search.match(queries, words.join(lemmas, "word").select("doc_id", F.explode("lemmas").alias("lemma")))
+
+
+@query(f"""WITH {_WORDS}, tf AS (SELECT doc_id, word AS lemma, count(*) AS tf FROM w GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(len) AS mean FROM dl),
+q AS (SELECT DISTINCT item_id AS query_id, lower(unnest(regexp_extract_all(text, '{_W}', 0)[1:4])) AS lemma FROM benchmark), df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY 1),
+s AS (
+  SELECT q.query_id, tf.doc_id, round(sum(ln(1 + (c.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.len / c.mean))), 9) AS score
+  FROM q JOIN tf ON tf.lemma = q.lemma JOIN df ON df.lemma = q.lemma JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN c GROUP BY 1, 2
+) SELECT query_id, rank, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
+def bm25_top5(spark, sf):
+    """The five best documents for the first four words of every benchmark text."""
+    counts = _words(_docs(spark, sf)).groupBy("doc_id", F.col("word").alias("lemma")).agg(F.count(F.lit(1)).alias("tf"))
+    q = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.explode(F.slice(words_of(F.col("text")), 1, 4)).alias("lemma")).withColumn("lemma", F.lower("lemma"))
+    return search.bm25(q, counts).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 5).alias("score"))
+
+
+def _hits(spark, sf):
+    """Occurrences of each document's own first word of six letters or more."""
+    t = tokenize(_docs(spark, sf)).where("kind = 'word'").withColumn("lemma", F.lower("text"))
+    q = t.where(F.length("lemma") >= 6).groupBy("doc_id").agg(F.min_by("lemma", "pos").alias("q"))
+    hits = t.join(q, "doc_id").where("lemma = q").select("doc_id", F.col("start"), F.col("end"), F.array("lemma").alias("lemmas"))
+    return t, hits
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM (SELECT doc_id, regexp_extract_all(text, '{PATTERN.replace(chr(39), chr(39) * 2)}', 0) AS ts FROM documents)),
+o AS (SELECT *, coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t),
+v AS (SELECT doc_id, pos, lower(token) AS word, start, start + length(token) AS stop FROM o WHERE regexp_full_match(token, '{_W}')),
+q AS (SELECT doc_id, arg_min(word, pos) AS q FROM v WHERE length(word) >= 6 GROUP BY doc_id)
+SELECT d.doc_id, count(v.pos) AS match_count, CAST(coalesce(sum(v.stop - v.start), 0) AS BIGINT) AS marked, CAST(coalesce(min(v.start), -1) AS BIGINT) AS first, true AS whole
+FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id AND v.word = q.q GROUP BY d.doc_id""")
+def highlight_spans(spark, sf):
+    """Highlighted segments of every document; ``whole`` says that they add up to it."""
+    docs = _docs(spark, sf)
+    _, hits = _hits(spark, sf)
+    h = search.highlight(docs, hits).join(docs.select("doc_id", "text"), "doc_id")
+    marked = F.filter("segments", lambda s: s.highlight)
+    first = F.when(F.col("match_count") > 0, F.when(F.get("segments", F.lit(0)).highlight, 0).otherwise(F.length(F.get("segments", F.lit(0)).text))).otherwise(-1)
+    length = F.aggregate(marked, F.lit(0).cast("long"), lambda a, s: a + F.length(s.text))
+    whole = F.array_join(F.transform("segments", lambda s: s.text), "") == F.col("text")
+    return h.select("doc_id", F.col("match_count").cast("long").alias("match_count"), length.alias("marked"), first.cast("long").alias("first"), whole.alias("whole"))
+
+
+@query()
+def snippet_best(spark, sf):
+    """Up to three snippets per document around its query's hits."""
+    words, hits = _hits(spark, sf)
+    s = search.snippets(_docs(spark, sf), words, hits)
+    return s.select("doc_id", "start", "end", "score", "text", F.size("segments").alias("n_segments"), "total_matches")
+
+
+@query(f"""WITH {_WORDS}, {_PAIRS}, ph AS (SELECT lower(w1) || ' ' || lower(w2) AS phrase FROM pairs WHERE w2 IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
+g AS (SELECT word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS phrase FROM w) SELECT g.phrase, count(*) AS n FROM g JOIN ph ON ph.phrase = g.phrase GROUP BY 1""")
+def phrase_matches(spark, sf):
+    """Occurrences of phrases, here the pairs that occur at least 20 times."""
+    words = _words(_docs(spark, sf))
+    table = ngrams.pairs_of(words).groupBy(F.concat_ws(" ", "w1", "w2").alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    table = table.select("phrase", F.col("phrase").alias("lemma"), F.lit(False).alias("is_stopword"))
+    return phrases.match_phrases(words, table).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- evaluation
+
+
+@query(f"""{_BASE}, {_TURNS}, x AS (SELECT t.doc_id, t.word, n.word IS NOT NULL AS known, coalesce(n.lemmas, [t.word]) AS lemmas FROM tw t LEFT JOIN nest n ON n.word = t.word)
+SELECT count(*) AS word_count, count(*) FILTER (lemmas <> [word]) AS lemmatized_count, count(*) FILTER (len(lemmas) > 1) AS ambiguous_count, round(avg(CASE WHEN len(lemmas) = 1 THEN 1.0 ELSE 0.5 END), 6) AS avg_confidence,
+  round(count(*) FILTER (lemmas <> [word])::DOUBLE / count(*), 6) AS coverage, round(count(*) FILTER (len(lemmas) > 1)::DOUBLE / count(*), 6) AS ambiguity_rate FROM x""")
+def processing_metrics(spark, sf):
+    """Coverage and ambiguity of the conversations."""
+    m = pipeline.metrics(_tokens(spark, sf, _turns(spark, sf)).where("kind = 'word'"))
+    return m.select("word_count", "lemmatized_count", "ambiguous_count", *[F.round(c, 6).alias(c) for c in ("avg_confidence", "coverage", "ambiguity_rate")])
+
+
+@query(f"""{_BASE} SELECT lang, count(DISTINCT w.doc_id) AS docs, count(*) AS tokens, CAST(count(u.word) AS BIGINT) AS known_tokens, round(count(u.word)::DOUBLE / count(*), 6) AS coverage
+FROM w LEFT JOIN uni u ON u.word = w.word GROUP BY lang""")
+def coverage_by_language(spark, sf):
+    """Known tokens per language."""
+    uni = _unigrams(spark, sf).select("word", F.lit(True).alias("k"))
+    w = _words(_docs(spark, sf), "lang").join(uni, "word", "left").select("doc_id", "lang", F.coalesce("k", F.lit(False)).alias("known"))
+    return evaluate.coverage_by(w, "lang").withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"{_BASE} SELECT word, count(*) AS freq FROM w WHERE word NOT IN (SELECT word FROM uni) GROUP BY word ORDER BY freq DESC, word LIMIT 30")
+def unknown_top30(spark, sf):
+    """The 30 most frequent unknown words."""
+    return evaluate.unknown_words(_words(_docs(spark, sf)), _unigrams(spark, sf))
+
+
+@query(f"""{_BASE}, g AS (
+  SELECT w.lang AS category, w.doc_id AS sentence, regexp_replace(w.word, 's$', '') AS gold, coalesce(n.lemmas, [w.word]) AS c, n.word IS NOT NULL AS known FROM w LEFT JOIN nest n ON n.word = w.word
+), s AS (
+  SELECT category, count(DISTINCT sentence) AS sentences, count(*) AS tokens, sum(list_contains(c, gold)::INT) AS found, sum((NOT known)::INT) AS oov, sum(len(c)) AS cands, sum(CASE WHEN list_contains(c, gold) THEN len(c) - 1 ELSE len(c) END) AS extra FROM g GROUP BY ROLLUP (category)
+) SELECT category, sentences, tokens, round(found::DOUBLE / tokens, 6) AS recall, round(1 - found::DOUBLE / tokens, 6) AS missing_rate, round(oov::DOUBLE / tokens, 6) AS oov_rate, round(cands::DOUBLE / tokens, 6) AS avg_candidates,
+  round(extra::DOUBLE / tokens, 6) AS extra_per_token, round(extra::DOUBLE / cands, 6) AS extra_rate FROM s""")
+def gold_evaluation(spark, sf):
+    """Recall and overindexing against a rule-made gold lemma, by language and in total."""
+    words = _words(_docs(spark, sf), "lang")
+    looked = unknown.word_lemmas(words, _nested(spark, sf), strip=False).select("word", "known", F.col("lemmas").alias("candidates"))
+    t = words.join(looked, "word").select(F.col("lang").alias("category"), F.col("doc_id").alias("sentence"), F.regexp_replace("word", "s$", "").alias("gold"), "candidates", "known")
+    s = evaluate.gold_scores(t)
+    return s.select("category", "sentences", "tokens", *[F.round(c, 6).alias(c) for c in s.columns[3:]])
+
+
+@query(f"""{_BASE}, a AS (SELECT DISTINCT doc_id, lang, coalesce(n.lemmas[1], w.word) AS lemma FROM w LEFT JOIN nest n ON n.word = w.word), b AS (SELECT DISTINCT doc_id, lang, word AS lemma FROM w),
+na AS (SELECT doc_id, lang, count(*) AS n FROM a GROUP BY 1, 2), nb AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1), o AS (SELECT a.doc_id, count(*) AS n FROM a JOIN b ON a.doc_id = b.doc_id AND a.lemma = b.lemma GROUP BY 1)
+SELECT na.lang AS domain, count(*) AS sentences, round(sum(coalesce(o.n, 0))::DOUBLE / sum(na.n), 6) AS recall, round(sum(coalesce(o.n, 0))::DOUBLE / sum(nb.n), 6) AS precision
+FROM na JOIN nb ON na.doc_id = nb.doc_id LEFT JOIN o ON o.doc_id = na.doc_id GROUP BY ROLLUP (na.lang)""")
+def lexicon_overlap(spark, sf):
+    """Overlap of first-lemma sets with word sets, by language and in total."""
+    words = _words(_docs(spark, sf), "lang").select("doc_id", "lang", "word").distinct()
+    looked = unknown.word_lemmas(words, _nested(spark, sf), strip=False).select("word", F.get("lemmas", F.lit(0)).alias("lemma"))
+    s = words.join(looked, "word").groupBy("doc_id", F.col("lang").alias("domain")).agg(F.collect_set("lemma").alias("a"), F.collect_set("word").alias("b"))
+    return evaluate.lexicon_overlap(s).select("domain", "sentences", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance, round(min(value), 6) AS least, round(max(value), 6) AS most,
+  round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""")
+def latency_percentiles(spark, sf):
+    """Latency statistics, here of event values."""
+    s = evaluate.latency(spark.read.parquet(f"{sf}/events.parquet"), by="event_type")
+    return s.select("event_type", "n", *[F.round(c, 6).alias(c) for c in s.columns[2:]])
+
+
+@query(f"WITH {_WORDS}, {_UNI} SELECT count(*) AS words, CAST(0 AS BIGINT) AS false_negatives FROM uni")
+def bloom_no_false_negatives(spark, sf):
+    """Known words that the Bloom filter denies: none."""
+    uni = _unigrams(spark, sf).select("word")
+    bits, hashes = bloom.size_for(uni.count())
+    asked = bloom.might_contain(uni, bloom.build(uni, bits, hashes), bits, hashes)
+    return asked.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum((~F.col("maybe")).cast("long")), F.lit(0)).alias("false_negatives"))
+
+
+@query("""SELECT config, uuid, left(text, 5000) AS text FROM (SELECT source AS config, CAST(doc_id AS VARCHAR) AS uuid, text, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) AS n
+  FROM documents WHERE length(trim(text)) >= 100) WHERE n <= 5""")
+def sampled_documents(spark, sf):
+    """The sampling operator: five documents of each source, cut to 5000 characters."""
+    d = _docs(spark, sf).select(F.col("source").alias("config"), F.col("doc_id").cast("string").alias("uuid"), "text")
+    return sample_documents(d, 5)
+
+
+@query()
+def process_text_full(spark, sf):
+    """All stages on the conversations: fallback, compounds, bigrams; figures per turn."""
+    nested = _nested(spark, sf)
+    known = _unigrams(spark, sf, 20).select(F.col("word").alias("lemma"))
+    t = pipeline.process_text(_turns(spark, sf), nested, _lemma_bigrams(spark, sf), known, pipeline.Options(split_mode="balanced", include_offsets=True))
+    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.size("lemmas")).alias("lemmas"), F.sum(F.col("compound").isNotNull().cast("long")).alias("compounds"), F.round(F.avg("confidence"), 6).alias("confidence"))
