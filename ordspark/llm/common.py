@@ -96,7 +96,7 @@ _LOWER += np.uint64(1)
 _IS_SEP = np.zeros(256, dtype=bool)
 _IS_SEP[list(SEPARATORS)] = True
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 #: Multipliers of the words of a shingle.
 _PLACE = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 _pow = np.ones(1, dtype=np.uint64)

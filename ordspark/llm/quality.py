@@ -32,6 +32,8 @@ DIMENSIONS = 1 << 18
 #: Features seen in fewer fitted documents have no weight.
 LEAST = 4
 GRADES = 3
+#: Words whose features a task remembers, in each of two generations.
+REMEMBERED = 50_000
 #: A document is kept if its top grade is at least this likely.
 KEEP = 0.4
 
@@ -150,7 +152,7 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, rate: fl
 
 
 def _features_of(batches):
-    words = Memo(_word)
+    words = Memo(_word, REMEMBERED)
     for batch in batches:
         slots = [sorted(features(x.as_py() or "", words)) for x in column(batch, "text")]
         yield pa.RecordBatch.from_arrays([column(batch, "grade"), pa.array(slots, pa.list_(pa.int32()))], names=["grade", "slots"])
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP, text_col: st
             slots, shapes = _word(word)
             return tuple(s for s in slots if s in weights), shapes
 
-        words = Memo(known)
+        words = Memo(known, REMEMBERED)
         for batch in batches:
             expected, top = [], []
             for cell in column(batch, text_col):
