@@ -18,7 +18,7 @@ NOBODY = "unknown"
 
 def _safe(text: Column) -> Column:
     """A turn cannot open or close turns: its control strings get a zero-width break."""
-    return F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "<​|$1|>")
+    return F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "<\u200b|$1|>")
 
 
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
