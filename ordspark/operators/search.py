@@ -101,7 +101,13 @@ def windows(docs: DataFrame, words: DataFrame, hits: DataFrame, size: int = 15,
     nth = W.partitionBy("doc_id").orderBy("start")
     w = words.select("doc_id", "start", "end").withColumn("n", F.row_number().over(nth))
     ordered = hits.select("doc_id", F.col("start").alias("hs"), F.col("end").alias("he"), "lemmas")
-    inside = ordered.join(w, "doc_id").where("start <= hs and hs < end").groupBy("doc_id", "hs", "he").agg(F.min("n").alias("c"))
+    # the last word that starts no later than the hit, if the hit lies in it: one sort instead of a range join
+    word = F.struct("n", "end")
+    merged = w.select("doc_id", F.col("start").alias("hs"), F.lit(0).alias("kind"), word.alias("w"), F.lit(None).cast("int").alias("he")).unionByName(
+        ordered.select("doc_id", "hs", F.lit(1).alias("kind"), F.lit(None).cast(w.select(word.alias("x")).schema[0].dataType).alias("w"), F.col("he").cast("int").alias("he"))
+    )
+    upto = W.partitionBy("doc_id").orderBy("hs", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = merged.withColumn("w", F.last("w", ignorenulls=True).over(upto)).where("kind = 1 and w.end > hs").select("doc_id", "hs", "he", F.col("w.n").alias("c")).distinct()
     last = w.groupBy("doc_id").agg(F.max("n").alias("last"))
     win = inside.join(last, "doc_id").select("doc_id", "hs", F.greatest(F.col("c") - half, F.lit(1)).alias("a"), F.least(F.col("c") + half, F.col("last")).alias("z"))
     at = lambda n, c, name: w.select("doc_id", F.col("n").alias(n), F.col(c).alias(name))

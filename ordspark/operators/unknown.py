@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import resources as R
+from ..session import materialize
 from .lexicon import lemmas_of, readings_of, with_entries
 
 STRINGS = "array<string>"
@@ -50,7 +51,7 @@ def suffix_fallback(words: DataFrame, nested: DataFrame, suffixes: Sequence[str]
         found = _round(open_.select("word", "current"), nested, suffixes, least_stem).join(open_, ["word", "current"])
         earlier = F.col("first").isNotNull() & (F.col("hit").isNull() | (F.col("first.at") < F.col("hit.at")))
         stems = F.when(earlier, F.concat("stems", F.array("first.stem"))).otherwise(F.col("stems")) if keep_stems else F.col("stems")
-        found = found.select("word", F.col("first.stem").alias("next"), F.col("hit.lemmas").alias("lemmas"), stems.alias("stems"))
+        found = materialize(found.select("word", F.col("first.stem").alias("next"), F.col("hit.lemmas").alias("lemmas"), stems.alias("stems")), "stems")
         ends = F.col("lemmas").isNotNull() | F.col("next").isNull() | (F.length("next") < least_word) | F.lit(nth == rounds - 1)
         part = found.where(ends).select("word", F.array_distinct(F.concat("stems", F.coalesce("lemmas", F.array().cast(STRINGS)))).alias("fallback"))
         done = part if done is None else done.union(part)
@@ -74,6 +75,7 @@ def word_lemmas(words: DataFrame, nested: DataFrame, strip: bool = True, **optio
     """
     base = with_entries(words.select("word").distinct(), nested).select("word", "entries", F.col("entries").isNotNull().alias("known"), lemmas_of(F.col("word"), F.col("entries")).alias("own"))
     if strip:
+        base = materialize(base, "looked")
         more = suffix_fallback(base.where("not known").select("word"), nested, **options)
         base = base.join(more, "word", "left").withColumn("lemmas", F.when(F.col("fallback").isNotNull(), F.array_distinct(F.concat("own", "fallback"))).otherwise(F.col("own")))
     else:

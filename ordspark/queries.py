@@ -15,6 +15,7 @@ from .functions import grammar as G
 from .functions.tokenize import KINDS, PATTERN, WORD, kind_of, naive_tokens, normal_form, tokenize, words_of
 from .operators import bloom, compounds, disambiguate, evaluate, lexicon, ngrams, phrases, search, stopwords, unknown
 from .plans import pipeline
+from .session import materialize
 from .sources.lexicons import sample_documents
 
 QUERIES = {}
@@ -568,7 +569,7 @@ def sampled_documents(spark, sf):
 @query()
 def process_text_full(spark, sf):
     """All stages on the conversations: fallback, compounds, bigrams; figures per turn."""
-    nested = _nested(spark, sf)
-    known = _unigrams(spark, sf, 20).select(F.col("word").alias("lemma"))
-    t = pipeline.process_text(_turns(spark, sf), nested, _lemma_bigrams(spark, sf), known, pipeline.Options(split_mode="balanced", include_offsets=True))
+    nested, bigrams = materialize(_nested(spark, sf), "lexicon"), materialize(_lemma_bigrams(spark, sf), "bigrams")
+    known = materialize(_unigrams(spark, sf, 20).select(F.col("word").alias("lemma")), "known")
+    t = pipeline.process_text(_turns(spark, sf), nested, bigrams, known, pipeline.Options(split_mode="balanced", include_offsets=True))
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.size("lemmas")).alias("lemmas"), F.sum(F.col("compound").isNotNull().cast("long")).alias("compounds"), F.round(F.avg("confidence"), 6).alias("confidence"))
