@@ -27,7 +27,7 @@ KINDS = (
     ("measurement", rf"{NUMBER}\s?(?:km|kg|cm|mm|m|g|l)\b"),
     ("hashtag", r"#[\p{L}\p{N}_]+"),
     ("username", r"@[\p{L}\p{N}_]+"),
-    ("domain", r"[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.(?:is|com|org|net|edu|gov|io|eu)\b"),
+    ("domain", r"[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.(?i:is|com|org|net|edu|gov|io|eu)\b"),
     ("number", NUMBER),
     ("word", WORD),
     ("space", r"\s+"),
