@@ -123,6 +123,16 @@ def test_cascade(spark, nested):
     assert got[1, "fóru"][0] == "fara" and got[1, "fóru"][1] == pytest.approx(101 / 112) and got[0, "bíl"] == ("bíll", 1.0)
 
 
+def test_strategies(spark, lex, nested):
+    docs = texts(spark, "Börnin fóru til borgarstjóri (og) 42.")
+    bigrams = spark.createDataFrame([("barn", "fara", 9)], "w1 string, w2 string, freq long")
+    best = {r.lemma for r in pipeline.disambiguated_lemmas(docs, nested, bigrams, remove_stopwords=True).collect()}
+    assert best == {"barn", "fara", "borgarstjóri", "42"}
+    got = {r.strategy: r for r in pipeline.strategy_metrics(docs, nested, bigrams, compounds.known_lemmas(lex)).collect()}
+    assert set(got) == set(pipeline.STRATEGIES) and got["naive"].word_count == 6 and got["tokenized"].word_count == 5
+    assert got["full"].compounds_found == 1 and got["disambiguated"].compounds_found == 0 and got["full"].unique_lemmas > got["tokenized"].unique_lemmas
+
+
 def test_search(spark, lex, nested):
     options = pipeline.Options(remove_stopwords=True, split_mode="balanced", include_offsets=True)
     docs = texts(spark, "Hestarnir og börnin.", "Köttur til.", "Húsnæðislán eru dýr. " + "Orð " * 40 + "Hesturinn var hér. " + "Orð " * 40, "")
