@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, keep
 from .pretokens import PATTERN, Memo, splitter
 
 _NEVER = 1 << 62
@@ -48,7 +48,7 @@ class Transducer:
     configuration, and are emitted up to where all registers agree.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         self.ranks, self.most = ranks, most
         self.spelled = {rank: token for token, rank in ranks.items()}
         self.next: dict[int, int] = {}
@@ -234,7 +234,7 @@ class Codec:
         self.spelled = self.transducer.spelled
         self.digits = {i: str(i) for i in self.spelled}
         self.split = splitter(pattern)
-        self.known = Memo(lambda piece: self.transducer.encode(piece.encode()), 200_000)
+        self.known = Memo(lambda piece: self.transducer.encode(piece.encode()), 250_000)
 
     def encode_parts(self, text: str):
         """Lists of ids; their concatenation is the text's encoding."""
@@ -257,14 +257,9 @@ class Codec:
         return "".join(self.decode_parts([ids]))
 
 
-_loaded: dict[tuple[str, str], Codec] = {}
-
-
 def _codec(source: bytes, pattern: str) -> Codec:
     key = (hashlib.sha256(source).hexdigest(), pattern)
-    if key not in _loaded:
-        _loaded[key] = Codec(source, pattern)
-    return _loaded[key]
+    return keep("codec", key, lambda: Codec(source, pattern))
 
 
 def _read(docs: DataFrame, ranks: str):

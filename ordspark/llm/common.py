@@ -4,6 +4,7 @@ Arrow access and word/shingle hashing over raw UTF-8 bytes."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,31 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# --------------------------------------------------------------------------
+# what a Python worker remembers between tasks
+
+_kept: dict = {}
+_owner = ""
+
+
+def release(owner: str) -> None:
+    """Forget what other operators left in this worker: it is used again by
+    later stages, and must hold one operator's tables at a time."""
+    global _owner
+    if _owner != owner:
+        _kept.clear()
+        _owner = owner
+        gc.collect()
+
+
+def keep(owner: str, key, make):
+    """The owner's value of ``key``, made once per worker and kept until another operator runs in it."""
+    release(owner)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 # --------------------------------------------------------------------------
 # Arrow access
 

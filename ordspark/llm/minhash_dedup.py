@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_rows, column, keyed_sets, mix, shingle_sets, table
+from .common import byte_rows, column, keyed_sets, mix, release, shingle_sets, table
 from .components import components
 
 BINS = 128
@@ -125,6 +125,7 @@ _SIGNED = T.StructType(
 
 
 def _sign(batches):
+    release("minhash")
     for batch in batches:
         data, offs = byte_rows(column(batch, "text"))
         n = len(batch)
@@ -152,6 +153,7 @@ def _rows_of(col, width):
 
 def _compare_blocks(batches):
     """Rows sorted by cell: the links that join components within each cell."""
+    release("minhash")
     held = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -208,6 +210,7 @@ def _confirm(batches):
     """Rows sorted by cell, a cell's texts before its pairs.  Yields the pairs
     that are similar on full sets, without those that earlier ones of the cell
     connect already."""
+    release("minhash")
     now, sets, root = None, {}, {}
 
     def find(x):

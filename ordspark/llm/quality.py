@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, release
 from .pretokens import Memo
 
 #: Labelled documents that the model is fitted on, at most.
@@ -33,7 +33,7 @@ DIMENSIONS = 1 << 18
 LEAST = 4
 GRADES = 3
 #: Words whose features a task remembers, in each of two generations.
-REMEMBERED = 50_000
+REMEMBERED = 150_000
 #: A document is kept if its top grade is at least this likely.
 KEEP = 0.4
 
@@ -152,6 +152,7 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, rate: fl
 
 
 def _features_of(batches):
+    release("quality")
     words = Memo(_word, REMEMBERED)
     for batch in batches:
         slots = [sorted(features(x.as_py() or "", words)) for x in column(batch, "text")]
@@ -186,6 +187,7 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP, text_col: st
     schema = base.select("*", F.lit(0.0).cast("double").alias(out[0]), F.lit(0.0).cast("double").alias(out[1]), F.lit(True).alias(out[2])).schema
 
     def run(batches):
+        release("quality")
         weights, thresholds = shared.value
         m = Model(np.zeros(0), thresholds)
 

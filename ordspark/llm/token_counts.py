@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, keep
 from .pretokens import Memo, splitter
 
 LIMIT = 1024
@@ -87,14 +87,8 @@ class PairMerger:
         return total
 
 
-_loaded: dict[str, PairMerger] = {}
-
-
 def _merger(source: bytes) -> PairMerger:
-    key = hashlib.sha256(source).hexdigest()
-    if key not in _loaded:
-        _loaded[key] = PairMerger(source)
-    return _loaded[key]
+    return keep("counts", hashlib.sha256(source).hexdigest(), lambda: PairMerger(source))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
