@@ -101,6 +101,16 @@ def grammar(candidates: Column, prev_word: Column, before: Column, next_word: Co
     return F.coalesce(subject_verb(candidates, prev_word, before, next_word, after), preposition(candidates, after), noun_after_preposition(candidates, prev_word, before), pronoun_verb(candidates, prev_word))
 
 
+def rules_for(word: Column) -> Column:
+    """Array of the preference rules of a word, in order; empty if it has none or is null."""
+    rules = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("word", "prefer", "over", "context"), rule)]) for rule in R.DISAMBIGUATION_RULES])
+    return F.filter(rules, lambda r: F.coalesce(r.word == F.lower(word), F.lit(False)))
+
+
+def has_rules(word: Column) -> Column:
+    return F.coalesce(F.lower(word).isin(*sorted({rule[0] for rule in R.DISAMBIGUATION_RULES})), F.lit(False))
+
+
 def preference(candidates: Column, prev_word: Column, next_word: Column, rules=R.DISAMBIGUATION_RULES) -> Column:
     """The first preference rule whose two readings exist and whose context holds."""
     contexts = {

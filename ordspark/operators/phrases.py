@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,6 +13,17 @@ def phrase_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(R.phrases(), "phrase string, lemma string, is_stopword boolean, pos string")
 
 
+def phrase_info(phrase: Column) -> Column:
+    """Struct (lemma, is_stopword, pos) of a phrase of the table, whatever its case; null for any other."""
+    table = F.create_map(*[x for p, lemma, stop, pos in R.phrases() for x in (F.lit(p), F.struct(F.lit(lemma).alias("lemma"), F.lit(stop).alias("is_stopword"), F.lit(pos).alias("pos")))])
+    return F.try_element_at(table, F.lower(phrase))
+
+
+def is_known_phrase(phrase: Column) -> Column:
+    """Whether the table has the phrase; false for null."""
+    return phrase_info(phrase).isNotNull()
+
+
 def match_phrases(words: DataFrame, phrases: DataFrame, longest: int = 4, doc: str = "doc_id", pos: str = "pos", word: str = "word") -> DataFrame:
     """(doc_id, pos, words, phrase, lemma, is_stopword) of the longest phrase that starts at each word."""
     w = W.partitionBy(doc).orderBy(pos)

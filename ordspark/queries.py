@@ -487,6 +487,25 @@ def phrase_matches(spark, sf):
     return phrases.match_phrases(words, table).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PHRASE_CASES = (("til dæmis", "til dæmi", True, "ao"), ("Til Dæmis", "til dæmi", True, "ao"), ("NATO", "NATO", False, "entity"), ("þar eð", "þar eð", True, "st"), ("fyrir hönd", "fyrir hönd", False, "fs"), ("til", None, None, None), ("", None, None, None))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(p)}, {_sql(m)}, {'NULL' if s is None else str(s).lower()}, {_sql(k)}, {str(m is not None).lower()})" for p, m, s, k in _PHRASE_CASES) + ") AS t(phrase, lemma, is_stopword, pos, known)")
+def phrase_lookup(spark, sf):
+    """What the phrase table says of single phrases."""
+    t = spark.createDataFrame([x[:1] for x in _PHRASE_CASES], "phrase string").withColumn("i", phrases.phrase_info(F.col("phrase")))
+    return t.select("phrase", "i.lemma", "i.is_stopword", "i.pos", phrases.is_known_phrase(F.col("phrase")).alias("known"))
+
+
+@query(f"""WITH {_WORDS}, r(nth, word, prefer, over_pos, context) AS (VALUES {', '.join(f"({i}, {', '.join(map(_sql, r))})" for i, r in enumerate(R.DISAMBIGUATION_RULES, 1))}),
+q AS (SELECT DISTINCT word FROM w UNION SELECT word FROM r) SELECT q.word, r.word IS NOT NULL AS ruled, r.prefer, r.over_pos, r.context FROM q LEFT JOIN r ON r.word = q.word""")
+def preference_rule_lookup(spark, sf):
+    """Preference rules of all distinct words and of the words that have some."""
+    words = _words(_docs(spark, sf)).select("word").union(spark.createDataFrame([(r[0],) for r in R.DISAMBIGUATION_RULES], "word string")).distinct()
+    x = words.select("word", G.has_rules(F.col("word")).alias("ruled"), F.explode_outer(G.rules_for(F.col("word"))).alias("r"))
+    return x.select("word", "ruled", "r.prefer", F.col("r.over").alias("over_pos"), "r.context")
+
+
 # -- evaluation
 
 

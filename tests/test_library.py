@@ -9,7 +9,7 @@ from ordspark.functions.tokenize import kind_of, naive_tokens, normal_form, norm
 from ordspark.operators import bloom, compounds, disambiguate, evaluate, lexicon, ngrams, phrases, search, stopwords, unknown
 from ordspark.plans import pipeline
 from ordspark.schemas import LEXICON
-from ordspark.sources import lexicons, tei
+from ordspark.sources import lexicons, search_index, tei
 
 ROWS = """hestinum hestur no þgf kk et|hestur hestur no nf kk et|hesti hestur no þgf kk et|hestar hestur no nf kk ft|hestarnir hestur no nf kk ft|hesturinn hestur no nf kk et
 börnin barn no nf hk ft|barn barn no nf hk et|keypti kaupa so|fóru fara so|fóru fóra no|hús hús no nf hk et|á á fs|á eiga so|á á no|við við fs|við ég fn|við viður no
@@ -88,6 +88,24 @@ def test_stopwords(spark):
     assert lexicons.unpack_entry(7 << 10 | 1 << 9 | 2 << 7 | 3 << 4 | 0, 2) == (7, "no", "þgf", "kvk", "ft")
 
 
+def test_preference_rule_lookup(spark):
+    t = spark.createDataFrame([("Á",), ("hestur",), (None,)], "w string")
+    got = t.select(G.has_rules(F.col("w")).alias("has"), G.rules_for(F.col("w")).alias("r")).collect()
+    assert [(x.has, [tuple(r) for r in x.r]) for x in got] == [(True, [("á", "so", "fs", "after_pronoun"), ("á", "fs", "so", "before_noun")]), (False, []), (False, [])]
+
+
+def test_search_index(spark, nested, tmp_path):
+    docs = spark.createDataFrame([(1, "Hestinum börnin"), (2, ""), (3, None)], "doc_id long, text string")
+    terms = pipeline.index_terms(pipeline.process_text(docs, nested))
+    rows = search_index.search_documents(docs, terms)
+    want = [(1, "Hestinum börnin", "hestur barn"), (2, "", ""), (3, None, "")]
+    assert [tuple(r) for r in rows.orderBy("doc_id").collect()] == want
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    search_index.write_jdbc(rows, url, "documents", mode="overwrite", connections=2, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    back = search_index.read_jdbc(spark, url, "documents", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert [tuple(r) for r in back.orderBy("doc_id").collect()] == want
+
+
 def test_suffix_cases(spark):
     t = spark.createDataFrame([(w,) for w in ("borðinu", "þakinu", "hestunum", "hestinn", "pabbi", "konráð")], "w string")
     assert {r.w: r.c for r in t.select("w", G.infer_case(F.col("w")).alias("c")).collect()} == {"borðinu": ["þgf"], "þakinu": ["þgf"], "hestunum": ["þgf"], "hestinn": ["nf", "þf"], "pabbi": [], "konráð": []}
@@ -157,6 +175,9 @@ def test_phrases_and_bloom(spark):
     w = spark.createDataFrame([(1, i, x) for i, x in enumerate("Við fórum til dæmis í raun og veru heim".split())], "doc_id long, pos int, word string")
     got = {(r.pos, r.phrase) for r in phrases.match_phrases(w, phrases.phrase_table(spark)).collect()}
     assert got == {(2, "til dæmis"), (4, "í raun og veru")}
+    t = spark.createDataFrame([("Til Dæmis",), ("til",), (None,)], "p string")
+    got = [(r.known, r.i and tuple(r.i)) for r in t.select(phrases.is_known_phrase(F.col("p")).alias("known"), phrases.phrase_info(F.col("p")).alias("i")).collect()]
+    assert got == [(True, ("til dæmi", True, "ao")), (False, None), (False, None)]
     assert bloom.size_for(1000) == (9586, 7)
     members = spark.range(500).selectExpr("concat('w', id) as word")
     bits = bloom.build(members, *bloom.size_for(500))
