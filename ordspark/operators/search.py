@@ -25,13 +25,15 @@ def match_row(groups: Column, lemmas: Column) -> Column:
 
 
 def bm25(query_terms: DataFrame, term_counts: DataFrame, top: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, doc_id, score) over ``term_counts`` (doc_id, lemma, tf)."""
-    lengths = term_counts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))  # one row
+    """(query_id, rank, doc_id, score) over ``term_counts`` (doc_id, lemma, tf).
+    Rows of lemmas that no query has, or of a null lemma, count for lengths only."""
+    corpus = term_counts.groupBy("doc_id").agg(F.sum("tf").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))  # one row
     q = query_terms.select("query_id", "lemma").distinct()
-    wanted = term_counts.join(q.select("lemma").distinct(), "lemma", "left_semi")
-    df = wanted.groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
-    rows = q.join(wanted, "lemma").join(df, "lemma").join(lengths, "doc_id").join(F.broadcast(corpus))
+    # dealt by document once: lengths, the join with the queries' lemmas and a document's scores stay there
+    sized = term_counts.withColumn("len", F.sum("tf").over(W.partitionBy("doc_id")))
+    df = term_counts.join(q.select("lemma").distinct(), "lemma", "left_semi").groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
+    asked = q.groupBy("lemma").agg(F.collect_list("query_id").alias("query_ids")).join(df, "lemma")  # as large as the queries
+    rows = sized.join(F.broadcast(asked), "lemma").join(F.broadcast(corpus)).withColumn("query_id", F.explode("query_ids"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scores = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
