@@ -262,20 +262,20 @@ scored AS (
 
 def _compound_input(spark, sf):
     known = _unigrams(spark, sf, 20).select(F.col("word").alias("lemma"))
-    words = _words(_turns(spark, sf)).select("word").distinct().where(F.length("word").between(6, 20))
+    words = _words(_docs(spark, sf)).select("word").distinct().where(F.length("word") >= 6)
     return words, spark.createDataFrame([], "word string, entries array<struct<rank:int,lemma:string,pos:string,gcase:string,gender:string,gnumber:string>>"), known
 
 
 @query(f"WITH {_WORDS}, {_TURNS}, {_KNOWN}, {_CUTS} SELECT word, l AS left_part, r AS right_part, round(score, 6) AS score FROM scored")
 def compound_candidates(spark, sf):
-    """Every cut of conversation words into two known parts, with its score."""
+    """Every cut of the documents' words into two known parts, with its score; the SQL takes conversation words of at most 20 characters."""
     return compounds.split_candidates(*_compound_input(spark, sf)).select("word", F.col("left").alias("left_part"), F.col("right").alias("right_part"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_WORDS}, {_TURNS}, {_KNOWN}, {_CUTS}, best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, ord) AS n FROM scored WHERE word NOT IN ({', '.join(map(_sql, R.PROTECTED_LEMMAS))}))
 SELECT word, CASE WHEN l = r THEN l ELSE l || ' ' || r END AS parts, round(least(score, 1), 6) AS confidence FROM best WHERE n = 1""")
 def compound_best(spark, sf):
-    """The best split of every conversation word that has one."""
+    """The best split of every word of the documents that has one; the SQL takes conversation words of at most 20 characters."""
     words, nested, known = _compound_input(spark, sf)
     looked = words.withColumn("lemmas", F.array("word"))
     return compounds.split_compounds(looked, nested, known).where("is_compound").select("word", F.array_join("parts", " ").alias("parts"), F.round("confidence", 6).alias("confidence"))

@@ -61,3 +61,22 @@ def test_bm25_uses_all_words(spark, tmp_path):
     assert same(got, brute_bm25(docs, asked))
     assert (2, 1, 6) in [x[:3] for x in got]
     assert same(got, whole_sql(sf, "bm25_top5", ("documents", "benchmark"), ("[1:4]", "")))
+
+
+# -- compound_candidates, compound_best
+
+
+def test_compounds_of_long_document_words(spark, tmp_path):
+    left, right, long = "landbúnaðar", "ráðuneytisins", "landbúnaðarráðuneytisins"
+    docs = [(1, f"{left} {right} hestur " * 20, "is"), (2, f"{long} hesturhestur ekki{right}", "is")]
+    talk = [(1, 0, "user", "hestur"), (1, 1, "user", "annað")]
+    sf = tables(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string"), conversations=(talk, "conv_id long, turn long, role string, text string"))
+    cut = ("FROM tw WHERE length(word) BETWEEN 6 AND 20", "FROM w WHERE length(word) >= 6")
+    found = {}
+    for name in ("compound_candidates", "compound_best"):
+        found[name] = rows(entry.queries()[name](spark, sf))
+        want = whole_sql(sf, name, ("documents", "conversations"), cut)
+        assert [x[:-1] for x in found[name]] == [x[:-1] for x in want]
+        assert [x[-1] for x in found[name]] == pytest.approx([x[-1] for x in want], abs=1e-6)
+    assert len(long) > 20 and (long, left, right) in [x[:3] for x in found["compound_candidates"]]
+    assert [x[:2] for x in found["compound_best"]] == [("hesturhestur", "hestur"), (long, f"{left} {right}")]
