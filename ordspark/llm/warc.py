@@ -52,12 +52,12 @@ def write_record(headers: Headers, block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def _split_head(data: bytes) -> tuple[str, Headers, int]:
-    """First line, headers (continued lines joined) and the length of both with the blank line."""
-    end = data.find(b"\r\n\r\n")
+def _split_head(data: bytes, at: int = 0) -> tuple[str, Headers, int]:
+    """First line, headers (continued lines joined) and the length of both with the blank line, from ``at`` on."""
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise ValueError("no end of headers")
-    first, *lines = data[:end].decode("utf-8", "replace").split("\r\n")
+    first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
     headers: Headers = []
     for line in lines:
         if line[:1] in (" ", "\t") and headers:
@@ -65,7 +65,7 @@ def _split_head(data: bytes) -> tuple[str, Headers, int]:
         elif ":" in line:
             k, v = line.split(":", 1)
             headers.append((k.strip(), v.strip()))
-    return first, headers, end + 4
+    return first, headers, end + 4 - at
 
 
 def field(headers: Headers, name: str, default: str | None = None) -> str | None:
@@ -81,7 +81,7 @@ def read_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
     at = 0
     while data.startswith(b"WARC/", at):
         try:
-            _, headers, n = _split_head(data[at : at + (1 << 16)])
+            _, headers, n = _split_head(data, at)
             size = int(field(headers, "Content-Length", "0") or 0)
         except ValueError:
             return

@@ -163,6 +163,16 @@ def test_warc_tables(spark, tmp_path):
     assert warc.derivatives(records.limit(0)).count() == 0
 
 
+def test_warc_long_url(spark, tmp_path):
+    url = "http://a.is/" + "é" * 100_000
+    pages = spark.createDataFrame([(1, url, "<p>x</p>"), (2, "http://b.is/", "<p>y</p>")], "page_id long, url string, html string")
+    records = warc.response_records(pages)
+    out = warc.derivatives(records).collect()
+    assert sorted((r.page_id, r.warc_type, r.target_uri == url) for r in out) == [(1, "conversion", True), (1, "metadata", True), (2, "conversion", False), (2, "metadata", False)]
+    (tmp_path / "a.warc").write_bytes(b"".join(bytes(r.record) for r in records.orderBy("page_id").collect()))
+    assert warc.read_warc(spark, str(tmp_path)).count() == 2
+
+
 # -- search
 
 
