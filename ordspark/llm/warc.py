@@ -73,6 +73,14 @@ def field(headers: Headers, name: str, default: str | None = None) -> str | None
     return next((v for k, v in headers if k.lower() == name), default)
 
 
+def named(headers: Headers) -> dict[str, str | list[str]]:
+    """Values by name; a name that repeats has the list of its values, in order."""
+    out: dict[str, list[str]] = {}
+    for k, v in headers:
+        out.setdefault(k, []).append(v)
+    return {k: v if len(v) > 1 else v[0] for k, v in out.items()}
+
+
 def read_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
     """(headers, block) of each record of a file, gzip members or plain.  Stops
     at the first bytes that are no record."""
@@ -199,9 +207,9 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     payload_digest = field(headers, "WARC-Payload-Digest") or digest(payload)
     about = {
         "Envelope": {
-            "WARC-Header-Metadata": dict(headers),
+            "WARC-Header-Metadata": named(headers),
             "Payload-Metadata": {
-                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": dict(http), "Entity-Length": len(payload), "Entity-Digest": payload_digest, "HTML-Metadata": {"Title": info["title"], "Metas": info["metas"], "Links": info["links"]}}
+                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": named(http), "Entity-Length": len(payload), "Entity-Digest": payload_digest, "HTML-Metadata": {"Title": info["title"], "Metas": info["metas"], "Links": info["links"]}}
             },
         }
     }
@@ -270,7 +278,7 @@ def derivatives(records: DataFrame) -> DataFrame:
             rows = []
             for page, raw in zip(column(batch, "page_id").to_pylist(), column(batch, "record")):
                 for headers, block in read_records(raw.as_py() or b""):
-                    source = json.dumps(dict(headers), ensure_ascii=False, sort_keys=True)
+                    source = json.dumps(named(headers), ensure_ascii=False, sort_keys=True)
                     for made, body in derive(headers, block):
                         got = dict(made)
                         rows.append(

@@ -173,6 +173,16 @@ def test_warc_long_url(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path)).count() == 2
 
 
+def test_warc_repeated_headers(spark):
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nServer: s\r\nSet-Cookie: b=2\r\nSet-Cookie: c=3\r\n\r\n<p>x</p>"
+    raw = warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<r>"), ("WARC-Concurrent-To", "<x>"), ("WARC-Concurrent-To", "<y>")], block)
+    out = warc.derivatives(spark.createDataFrame([(1, bytearray(raw))], "page_id long, record binary")).collect()
+    assert len(out) == 2 and all(json.loads(r.source_headers)["WARC-Concurrent-To"] == ["<x>", "<y>"] for r in out)
+    about = json.loads(next(r.block for r in out if r.warc_type == "metadata"))["Envelope"]
+    assert about["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<x>", "<y>"] and about["WARC-Header-Metadata"]["WARC-Type"] == "response"
+    assert about["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"] == {"Set-Cookie": ["a=1", "b=2", "c=3"], "Server": "s"}
+
+
 # -- search
 
 
