@@ -139,14 +139,14 @@ def top_inner_products(vectors: DataFrame, queries, k: int = 5, id_col: str = "v
 
     ``queries`` is a condition on ``vec_id`` that names the query rows.  Vectors
     that are null or hold null or non-finite components, and rows without an id,
-    take no part; of rows that repeat an id the byte-wise largest vector counts.
+    take no part.  Every row of a repeated id is a candidate of all other ids,
+    and the rows of a repeated query id share its k places.
     Shorter vectors are padded with zeros.  Components up to 2**20 in size give
     exact scores.  A query with fewer candidates gets them all.
     """
     spark = vectors.sparkSession
     typed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    all_ = typed.mapInArrow(_quantise, "vec_id long, vector binary, norm double")
-    all_ = table(all_.groupBy("vec_id").agg(F.max(F.struct("vector", "norm")).alias("x")).select("vec_id", "x.vector", "x.norm"), "vectors")
+    all_ = table(typed.mapInArrow(_quantise, "vec_id long, vector binary, norm double"), "vectors")
     basis = rotation(all_)
     d = basis.shape[0]
     if not d:
@@ -181,7 +181,7 @@ def top_inner_products(vectors: DataFrame, queries, k: int = 5, id_col: str = "v
     )
     of_candidate = (
         banded.join(F.broadcast(bands), "band")
-        .select("band", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "vec_id", "vector")
+        .select("band", F.pmod(F.xxhash64("vec_id", "vector", F.lit(1)), F.col("parts")).cast("int").alias("part"), "vec_id", "vector")
         .select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("q"), "band", "part", "vec_id", "vector", F.lit(None).cast("double").alias("floor"))
     )
 

@@ -212,6 +212,18 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_inner_products(v.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_top_k_of_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    r = np.random.default_rng(3)
+    rows = [(int(i), r.normal(size=6).astype(np.float32).tolist()) for i in r.integers(0, 120, 400)] + [(100, [9.0] * 6), (100, [9.0] * 6), (7, [8.0] * 6), (7, [7.0] * 6), (7, [7.0] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v.toPandas().to_parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert sorted(map(tuple, topk_search.top_inner_products(v, "vec_id % 50 = 0").collect())) == sorted(con.execute(topk_search.ORACLE).fetchall())
+
+
 # -- pipeline
 
 
