@@ -12,8 +12,8 @@ SEGMENT = "array<struct<text:string,highlight:boolean>>"
 def match(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, doc_id) of documents that have a lemma of every group of
     ``queries`` (query_id, groups).  A relational division: the join is on the
-    lemma, and only lemmas of queries reach it.  Queries without groups match
-    every document that has a posting; see ``match_all``."""
+    lemma, and only lemmas of queries reach it.  Queries without groups
+    give no rows here; ``match_row`` has them match every document."""
     terms = queries.select("query_id", F.size("groups").alias("n"), F.posexplode("groups").alias("group_id", "lemmas")).select("query_id", "n", "group_id", F.explode("lemmas").alias("lemma"))
     hits = terms.join(postings.select("doc_id", "lemma").distinct(), "lemma")
     return hits.groupBy("query_id", "doc_id", "n").agg(F.countDistinct("group_id").alias("got")).where("got = n").select("query_id", "doc_id")
