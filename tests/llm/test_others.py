@@ -247,3 +247,17 @@ def test_pipeline_stages(spark):
 
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+
+
+def test_pipeline_dedup_stages_against_brute_force(spark):
+    import corpus_pipeline as P
+    from test_dedup import brute_lines, classes
+
+    stages = dict(P.STAGES)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    lines = {r.doc_id: r.text for r in stages["line dedup"](spark, docs, None).collect()}
+    assert lines == brute_lines(rows) and lines != dict(rows)
+    near = {r.doc_id: r.text for r in stages["minhash near-dedup"](spark, docs, None).collect()}
+    group = classes(rows)
+    assert near == {i: t for i, t in rows if group[i][1] == i} and len(near) < len(rows)
