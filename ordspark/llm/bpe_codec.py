@@ -7,10 +7,11 @@ this is decided from the two tokens' own derivations, so a sequence whose
 neighbours all fit is the library's encoding, and every prefix of a text has
 exactly one.  Subset construction makes it deterministic while texts are read:
 a state holds the configurations that are still alive, each with the tokens it
-has not shared with the others yet.  As soon as all living configurations agree
-on a token it is emitted, so the lookahead is bounded by the longest token that
-can still be completed.  States and transitions are remembered and forgotten
-together when there are too many.
+does not share with the others.  Tokens are outputs of transitions: what all
+configurations of a target begin with is emitted on the way to it, so a token
+leaves as soon as the living configurations agree on it, and the lookahead is
+bounded by the longest token that can still be completed.  States and
+transitions are remembered and forgotten together when there are too many.
 
 Decoding joins the tokens' bytes and passes them through an incremental UTF-8
 machine that holds back an unfinished character until its last byte arrives.
@@ -37,18 +38,34 @@ def read_ranks(source: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, source.splitlines()) if token}
 
 
+class State(dict):
+    """A state: byte -> (next state, tokens emitted on the way), filled as bytes are read.
+
+    ``configurations`` are the living ones, oldest first: (token passed last,
+    node of the token trie reached since then, tokens passed but not yet
+    emitted).  The last of them has just passed a token, so ``rest``, what it
+    has not emitted, completes the encoding of a piece that ends here.
+    """
+
+    __slots__ = ("configurations", "rest", "owner")
+
+    def __init__(self, owner: Transducer, configurations: tuple):
+        self.owner, self.configurations, self.rest = owner, configurations, configurations[-1][2]
+
+    def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
+        arc = self[byte] = self.owner.arc(self, byte)
+        return arc
+
+
 class Transducer:
     """ids of one piece, byte by byte.  ``most`` bounds the remembered states.
 
-    A configuration is (token passed last, node of the token trie reached since
-    then).  A state is the tuple of living configurations, oldest first; the
-    last of them has just passed a token.  An arc says which configurations
-    survive a byte and which of them passes which token.  The tokens passed on
-    the way to each configuration are kept beside the state, in one register per
-    configuration, and are emitted up to where all registers agree.
+    Configurations carry the tokens they do not share yet.  An arc takes every
+    configuration over a byte, drops those that die, adds the one that passes a
+    token, and emits what all of them then begin with.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 320_000):
         self.ranks, self.most = ranks, most
         self.spelled = {rank: token for token, rank in ranks.items()}
         self.next: dict[int, int] = {}
@@ -64,12 +81,14 @@ class Transducer:
             self.ends[node] = rank
         self.spines: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
+        self.states: dict[tuple, State] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple[int, ...]] = [(-1, 0)]
-        self.number = {(-1, 0): 0}
-        self.arcs: dict[int, tuple] = {}
+        """Forget all states; one in use goes on with arcs to new ones."""
+        self.states.clear()
+        start = ((-1, 0, ()),)
+        self.start = self.states[start] = State(self, start)
 
     # -- which tokens may stand side by side
 
@@ -120,85 +139,54 @@ class Transducer:
 
     # -- determinisation
 
-    def _arc(self, state: int, byte: int) -> tuple:
-        """(survivors, configuration that passes a token, token, target state)."""
-        configurations, step, ends, fits = self.states[state], self.next.get, self.ends, self.fits
-        key, stay, passing, passed = [], [], -1, -1
-        for i in range(0, len(configurations), 2):
-            node = step(configurations[i + 1] << 8 | byte)
+    def arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        """(next state, emitted tokens) of a state that has not read this byte before."""
+        step, ends, fits = self.next.get, self.ends, self.fits
+        living, passing = [], None
+        for last, node, held in state.configurations:
+            node = step(node << 8 | byte)
             if node is None:
                 continue
-            last = configurations[i]
-            key += (last, node)
-            stay.append(i >> 1)
-            if passing < 0 and (token := ends[node]) >= 0:
+            living.append((last, node, held))
+            if passing is None and (token := ends[node]) >= 0:
                 if last < 0:
                     good = self._derivation(token) is not None
                 elif (good := fits.get(last << 32 | token)) is None:
                     good = self._may_follow(last, token)
                 if good:
-                    passing, passed = i >> 1, token
-        if passing < 0:
+                    passing = (token, 0, (*held, token))
+        if passing is None:
             raise ValueError("the ranks do not cover every byte")
-        key += (passed, 0)
-        key = tuple(key)
-        target = self.number.get(key)
+        living.append(passing)
+        emitted = living[0][2]
+        if emitted:  # the oldest holds back something: what all others begin with too leaves
+            for _, _, held in living:
+                if held is not emitted:
+                    same = 0
+                    for x, y in zip(emitted, held):
+                        if x != y:
+                            break
+                        same += 1
+                    emitted = emitted[:same]
+            if sure := len(emitted):
+                living = [(last, node, held[sure:]) for last, node, held in living]
+        key = tuple(living)
+        target = self.states.get(key)
         if target is None:
-            target = self.number[key] = len(self.states)
-            self.states.append(key)
-        arc = self.arcs[state << 8 | byte] = (stay, passing, passed, target)
-        return arc
+            if len(self.states) >= self.most:
+                self.reset()
+            target = self.states[key] = State(self, key)
+        return target, emitted
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        if not piece:
-            return ()
-        if len(self.states) > self.most:
-            self.reset()
-        arcs, state, registers, out = self.arcs, 0, [None], []
-        for n, byte in enumerate(piece, 1):
-            arc = arcs.get(state << 8 | byte)
-            if arc is None:
-                if len(self.states) > 4 * self.most:  # within one huge piece: keep the present state alone
-                    here = self.states[state]
-                    self.reset()
-                    arcs, state = self.arcs, self.number.setdefault(here, len(self.states))
-                    if state:
-                        self.states.append(here)
-                arc = self._arc(state, byte)
-            stay, passing, passed, state = arc
-            whole = (registers[passing], passed)
-            if stay:
-                registers = [registers[i] for i in stay]
-                registers.append(whole)
-                if not n & 255:
-                    registers = self._emit(registers, out)
-            else:  # one configuration is left: all it has passed is certain
-                registers = [whole]
-        self._emit(registers[-1:], out)
+        state, out = self.start, []
+        for byte in piece:
+            state, emitted = state[byte]
+            if emitted:
+                out += emitted
+        out += state.rest
         return tuple(out)
 
-    @staticmethod
-    def _emit(registers: list, out: list[int]) -> list:
-        """Move what all registers have passed to ``out``; the registers without it."""
-        passed = []
-        for r in registers:
-            tokens = []
-            while r is not None:
-                r, token = r
-                tokens.append(token)
-            passed.append(tokens[::-1])
-        sure, least = 0, min(map(len, passed))
-        while sure < least and all(p[sure] == passed[0][sure] for p in passed):
-            sure += 1
-        out += passed[0][:sure]
-        left = []
-        for p in passed:
-            r = None
-            for token in p[sure:]:
-                r = (r, token)
-            left.append(r)
-        return left
-
 
 class Utf8Machine:
     """Incremental UTF-8: ``feed`` returns the characters finished so far and
@@ -229,12 +217,40 @@ class Utf8Machine:
 class Codec:
     """Encoding and decoding of whole texts by a rank file's bytes."""
 
-    def __init__(self, source: bytes, pattern: str = PATTERN):
+    def __init__(self, source: bytes, pattern: str = PATTERN, remembered: int = 250_000):
         self.transducer = Transducer(read_ranks(source))
         self.spelled = self.transducer.spelled
-        self.digits = {i: str(i) for i in self.spelled}
         self.split = splitter(pattern)
-        self.known = Memo(lambda piece: self.transducer.encode(piece.encode()), 250_000)
+        self.digits = {rank: b"%d" % rank for rank in self.spelled}
+        self.known = Memo(lambda piece: self.transducer.encode(piece.encode()), remembered)
+        self.written = Memo(self._write, remembered)
+
+    def _write(self, piece: str) -> tuple[bytes, bytes]:
+        """(decimal ids joined by spaces, bytes that the ids decode to) of a piece."""
+        ids = self.transducer.encode(piece.encode())
+        return b" ".join([self.digits[i] for i in ids]), b"".join([self.spelled[i] for i in ids])
+
+    def digests(self, text: str) -> tuple[int, str, str, bool]:
+        """(ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the
+        decoded text, whether it is the text), part by part."""
+        look, machine = self.written.__getitem__, Utf8Machine()
+        ids_sha, text_sha, n, at, same = hashlib.sha256(), hashlib.sha256(), 0, 0, True
+
+        def decoded(data: str) -> None:
+            nonlocal at, same
+            text_sha.update(data.encode())
+            same = same and text.startswith(data, at)
+            at += len(data)
+
+        for pieces in self.split(text):
+            if pieces:
+                found = list(map(look, pieces))
+                line = b" ".join([ids for ids, _ in found])
+                ids_sha.update(b" " + line if n else line)
+                n += line.count(b" ") + 1
+                decoded(machine.feed(b"".join([spelled for _, spelled in found])))
+        decoded(machine.finish())
+        return n, ids_sha.hexdigest(), text_sha.hexdigest(), same and at == len(text)
 
     def encode_parts(self, text: str):
         """Lists of ids; their concatenation is the text's encoding."""
@@ -299,7 +315,8 @@ def codec_digests(docs: DataFrame, ranks: str, pattern: str = PATTERN, id_col: s
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip) for every row.
 
     Each whole text is encoded, its ids are decoded again, and both are
-    digested part by part.  Null texts are empty.  Null ids and repeated rows
+    digested part by part; a worker remembers the digits and the bytes of the
+    ids of pieces that it has seen.  Null texts are empty.  Null ids and repeated rows
     pass through; a very long text is handled as a stream of parts.  No shuffle.
     The rank file is read by the driver and broadcast (a fixed file under 1 MB).
     """
@@ -307,30 +324,11 @@ def codec_digests(docs: DataFrame, ranks: str, pattern: str = PATTERN, id_col: s
 
     def run(batches):
         codec = _codec(source.value, pattern)
-        digits = codec.digits.__getitem__
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
         for batch in batches:
-            n_tokens, ids_hex, text_hex, same = [], [], [], []
-            for cell in column(batch, "text"):
-                text = cell.as_py() or ""
-                ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
-
-                def parts():
-                    nonlocal n
-                    for ids in codec.encode_parts(text):
-                        if ids:
-                            ids_sha.update(((" " if n else "") + " ".join(map(digits, ids))).encode())
-                            n += len(ids)
-                        yield ids
-
-                for decoded in codec.decode_parts(parts()):
-                    text_sha.update(decoded.encode())
-                n_tokens.append(n)
-                ids_hex.append(ids_sha.hexdigest())
-                text_hex.append(text_sha.hexdigest())
-                same.append(text_hex[-1] == hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(n_tokens, pa.int64()), pa.array(ids_hex), pa.array(text_hex), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
-            )
+            rows = [codec.digests(cell.as_py() or "") for cell in column(batch, "text")]
+            columns = zip(*rows) if rows else ((),) * len(kinds)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *map(pa.array, columns, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -1,15 +1,18 @@
 """Codec and token counts against the public libraries."""
 
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ordspark.llm.bpe_codec import Codec, Utf8Machine, codec_digests, decode_ids, encode_texts, read_ranks
+from ordspark.llm.bpe_codec import Codec, Transducer, Utf8Machine, codec_digests, decode_ids, encode_texts, read_ranks
+from ordspark.llm.pretokens import PATTERN, narrow
 from ordspark.llm.token_counts import PairMerger, token_counts
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -46,6 +49,24 @@ def test_small_memory_gives_the_same_ids():
     assert small.encode(text) == ENC.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "thequickbrownfox", "qzjxkvbp", None])
+def test_lookahead_is_bounded(unit):
+    """What configurations hold back on a piece of 1 MB is less than the longest token's bytes."""
+    r = random.Random(1)
+    piece = (unit * 2**20)[: 2**20] if unit else "".join(r.choices("etaoinshrdlu", k=2**20))
+    t = Transducer(read_ranks(SOURCE))
+    ids = t.encode(piece.encode())
+    assert b"".join(map(t.spelled.__getitem__, ids)) == piece.encode()
+    assert max(len(held) for s in t.states.values() for _, _, held in s.configurations) < max(map(len, t.ranks))
+    assert t.encode(piece[:400].encode()) == tuple(ENC.encode_ordinary(piece[:400]))
+
+
+def test_split_by_either_engine():
+    assert narrow(PATTERN) is not None and narrow(r"\p{Lu}+|.") is None and narrow(r"\p{L}++") is None and narrow(r"(?i:x)") is None
+    text = "".join(chr(c) + " x" for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    assert narrow(PATTERN).findall(text) == regex.findall(PATTERN, text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=30), st.integers(1, 5))
 def test_utf8_machine(text, step):
