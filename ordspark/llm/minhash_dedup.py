@@ -115,6 +115,7 @@ def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _SIGNED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("t", T.LongType()),
         T.StructField("k1", T.LongType()),
         T.StructField("k2", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
@@ -137,7 +138,7 @@ def _sign(batches):
                 bands[i] = band_keys(signature(s))
                 sk[i] = sketch(s).tobytes() + bands[i].astype("<i4").tobytes()
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(k1), pa.array(k2), pa.array(size), pa.array(sk, pa.binary()), lists], names=[f.name for f in _SIGNED])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "t"), pa.array(k1), pa.array(k2), pa.array(size), pa.array(sk, pa.binary()), lists], names=[f.name for f in _SIGNED])
 
 
 def _likely_edges(batches):
@@ -247,9 +248,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, hub: str) -> DataFrame:
     cells of about BLOCK documents on either side, and each cell gets every
     text it needs once."""
     sizes = pairs.groupBy(hub).agg(F.approx_count_distinct("a").alias("na"), F.approx_count_distinct("b").alias("nb"))
-    cells = pairs.join(sizes, hub).select(
-        F.xxhash64(F.col(hub), F.pmod(F.xxhash64("a"), F.ceil(F.col("na") / BLOCK)), F.pmod(F.xxhash64("b"), F.ceil(F.col("nb") / BLOCK))).alias("cell"), "a", "b"
-    )
+    # only hubs of more than one cell, one row for every BLOCK pairs at most: pairs of the others do not move
+    wide = table(sizes.where((F.col("na") > BLOCK) | (F.col("nb") > BLOCK)), "wide")
+    part = lambda x, n: F.pmod(F.xxhash64(x), F.coalesce(F.ceil(F.col(n) / BLOCK), F.lit(1)))
+    cells = pairs.join(wide, hub, "left").select(F.xxhash64(F.col(hub), part("a", "na"), part("b", "nb")).alias("cell"), "a", "b")
     cells = table(cells, "cells")
     needed = cells.select("cell", F.col("a").alias("doc")).union(cells.select("cell", F.col("b").alias("doc"))).distinct()
     sent = needed.join(texts, "doc").select("cell", F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "text")
@@ -262,16 +264,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and word-less texts have n_shingles 0, link with nothing and are their
     own component.  Rows with a null id take no part: component_id is null and
-    they are kept.  Rows that repeat an id with the same words are one document.
-    Other columns, whatever their names, are not read.
+    they are kept.  Rows that repeat an id are one document if their words are
+    the same, and documents of their own otherwise.  Other columns, whatever
+    their names, are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     signed = table(base.mapInArrow(_sign, _SIGNED), "signed")
     worded = signed.where("doc_id is not null and n_shingles > 0")
-    reps = table(
-        worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sketch", "bands")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.sketch", "r.bands"),
-        "reps",
-    )
+    least = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t", "sketch", "bands")).alias("r"))
+    reps = table(least.select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.t", "r.sketch", "r.bands"), "reps")
+    names = reps.select("rep", "t", F.col("rep").alias("doc"))
+    # a node is a word sequence, named by its smallest id; where an id names several, they are told apart by their keys
+    repeated = not worded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if repeated:
+        several = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", F.lit(True).alias("several"))
+        reps = reps.join(several, "rep", "left").withColumn("id", F.col("rep"))
+        reps = reps.withColumn("rep", F.when(F.col("several"), F.xxhash64("k1", "k2", F.lit("node"))).otherwise(F.col("rep"))).drop("several")
+        reps = table(reps, "nodes")
+        names = reps.select(F.col("id").alias("rep"), "t", F.col("rep").alias("doc"))
 
     rows = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
@@ -283,8 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = table(star.mapInArrow(_likely_edges, "a long, b long"), "star")
 
     # texts of the documents that share a bucket; what follows reads no other text
-    active = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = table(base.join(active, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text"), "texts")
+    active = names.join(members.select(F.col("rep").alias("doc")).distinct(), "doc").select(F.col("rep").alias("doc_id"), "t", "doc")
+    texts = base.join(active, ["doc_id", "t"]).select("doc", "text")
+    texts = table(texts.groupBy("doc").agg(F.min("text").alias("text")) if repeated else texts, "texts")
 
     links = table(_confirmed(star.select("a", "b", F.col("b").alias("hub")), texts, "hub"), "links")
     label = components(links)
@@ -313,7 +324,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = table(left.mapInArrow(_compare_blocks, "a long, b long"), "more")
 
     label = table(components(links.union(more)), "label")
-    named = reps.select("k1", "k2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
-    out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(named, ["k1", "k2"], "left")
-    own = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    own = reps.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    if repeated:  # a label may be a key: the component's smallest id instead
+        own = own.join(own.groupBy("label").agg(F.min("id").alias("least")), "label").withColumn("label", F.col("least"))
+    named = own.select(F.lit(True).alias("linked"), "k1", "k2", "label")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    # rows without words or id match nothing, and are dealt by their ids instead of meeting in one task
+    out = signed.select("doc_id", "n_shingles", linked.alias("linked"), F.when(linked, F.col("k1")).otherwise(F.xxhash64("doc_id", "t")).alias("k1"), "k2")
+    out = out.join(named, ["linked", "k1", "k2"], "left").withColumn("own", F.coalesce("label", "doc_id"))
+    return out.select("doc_id", "n_shingles", F.col("own").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("own"), F.lit(True)).alias("kept"))

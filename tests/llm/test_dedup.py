@@ -75,6 +75,19 @@ def test_near_duplicates(spark):
     assert M.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are one document if their words agree, and do not link their neighbours if not."""
+    rows = corpus()
+    other = {n: n for n, _ in rows} | {5000: 2, 5001: 2, 5002: 14, 5003: 3}
+    all_ = rows + [(5000, "nothing in common with any of the others"), (5001, rows[20][1]), (5002, rows[3][1]), (5003, rows[3][1].upper())]
+    docs = spark.createDataFrame([(other[n], t) for n, t in all_], "doc_id long, text string")
+    want, least = classes(all_), {}
+    for n, (_, root) in want.items():
+        least[root] = min(least.get(root, 1 << 60), other[n])
+    got = M.near_duplicates(docs).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((other[n], size, least[root]) for n, (size, root) in want.items())
+
+
 def test_rest_of_buckets_is_compared(spark, monkeypatch):
     """Blocks of one document: every pair of a bucket meets in some cell."""
     monkeypatch.setattr(M, "BLOCK", 0.5)
