@@ -101,6 +101,21 @@ class Model:
         return [1.0 / (1.0 + math.exp(min(50.0, max(-50.0, t - score)))) for t in self.thresholds]
 
 
+def likelihood(scores: np.ndarray, thresholds: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades, and its gradients by the rows' scores and by the thresholds.
+
+    A row's likelihood is P(grade >= g) - P(grade >= g + 1).
+    """
+    n, last = len(grades), len(thresholds)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    cuts = np.concatenate(([-np.inf], thresholds, [np.inf]))
+    upper, lower = np.where(grades > 0, sigmoid(scores - cuts[grades]), 1.0), np.where(grades < last, sigmoid(scores - cuts[grades + 1]), 0.0)
+    p = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+    by_threshold = np.array([du[grades == j + 1].sum() - dl[grades == j].sum() for j in range(last)]) / n
+    return -float(np.log(p).mean()), (dl - du) / n, by_threshold
+
+
 def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, rate: float = 0.2, penalty: float = 1e-3) -> Model | None:
     """Cumulative-logit likelihood with an L1 penalty, by proximal AdaGrad over
     all rows.  Every 50 rounds the features that have no weight then leave.
@@ -126,17 +141,9 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, rate: fl
     t = -np.log(share / (1 - share))
     t = np.maximum.accumulate(t + np.arange(GRADES - 1) * 1e-3)
     t2 = np.full(GRADES - 1, 1e-8)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for nth in range(1, rounds + 1):
-        score = np.bincount(rows, w[cols], minlength=n)
-        # upper = P(grade >= g), lower = P(grade >= g + 1); the likelihood of a row is their difference
-        cuts = np.concatenate(([-np.inf], t, [np.inf]))
-        upper, lower = np.where(grades > 0, sigmoid(score - cuts[grades]), 1.0), np.where(grades < GRADES - 1, sigmoid(score - cuts[grades + 1]), 0.0)
-        p = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        slope = (du - dl) / n  # of the log-likelihood, by the score
-        gw = -np.bincount(cols, slope[rows], minlength=len(names))
-        gt = np.array([du[grades == j + 1].sum() - dl[grades == j].sum() for j in range(GRADES - 1)]) / n
+        _, by_score, gt = likelihood(np.bincount(rows, w[cols], minlength=n), t, grades)
+        gw = np.bincount(cols, by_score[rows], minlength=len(names))
         g2 += gw**2
         t2 += gt**2
         step = rate / np.sqrt(g2)
@@ -166,9 +173,12 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model of at most ``sample`` labelled documents (a proven bound on what is broadcast and collected)."""
+    """A model of at most ``sample`` labelled documents, one row each, which
+    bounds what is broadcast and collected.  Of rows that repeat an id the
+    smallest text counts."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade"))
     found = rows.select("text", "grade").mapInArrow(_features_of, "grade int, slots array<int>").toArrow()
     slots = [np.asarray(x.values) for x in found.column("slots").combine_chunks()] if len(found) else []
     return fit(slots, found.column("grade").to_numpy()) if slots else None

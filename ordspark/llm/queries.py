@@ -25,7 +25,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns from every participant's perspective."""
-    return chat.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("tie")
+    return chat.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

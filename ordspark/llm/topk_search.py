@@ -179,10 +179,13 @@ def top_inner_products(vectors: DataFrame, queries, k: int = 5, id_col: str = "v
         asked.select(q_block, "vec_id", "vector", "floor", F.explode(F.filter(open_to, lambda b: F.col("norm") * b.longest * (1 + 1e-9) + 1 >= F.col("floor"))).alias("b"))
         .select("q", "b.band", F.explode(F.sequence(F.lit(0), F.col("b.parts") - 1)).alias("part"), "vec_id", "vector", "floor")
     )
+    # blocks that some query opens; candidates go nowhere else
+    opened = table(of_query.select("q", "band").distinct(), "opened")
     of_candidate = (
         banded.join(F.broadcast(bands), "band")
         .select("band", F.pmod(F.xxhash64("vec_id", "vector", F.lit(1)), F.col("parts")).cast("int").alias("part"), "vec_id", "vector")
-        .select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("q"), "band", "part", "vec_id", "vector", F.lit(None).cast("double").alias("floor"))
+        .join(opened, "band")
+        .select("q", "band", "part", "vec_id", "vector", F.lit(None).cast("double").alias("floor"))
     )
 
     def run(t: pa.Table) -> pa.Table:

@@ -11,17 +11,18 @@ digests of their own blocks.  Record ids are name-based, so reruns agree.
 from __future__ import annotations
 
 import base64
-import gzip
+import codecs
 import hashlib
 import html
-import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,10 @@ def write_record(headers: Headers, block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def _split_head(data: bytes, at: int = 0) -> tuple[str, Headers, int]:
-    """First line, headers (continued lines joined) and the length of both with the blank line, from ``at`` on."""
-    end = data.find(b"\r\n\r\n", at)
+def _split_head(data: bytes, at: int = 0, end: int | None = None) -> tuple[str, Headers, int]:
+    """First line, headers (continued lines joined) and the length of both with
+    the blank line, from ``at`` to that line at ``end``."""
+    end = data.find(b"\r\n\r\n", at) if end is None else end
     if end < 0:
         raise ValueError("no end of headers")
     first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
@@ -81,25 +83,68 @@ def named(headers: Headers) -> dict[str, str | list[str]]:
     return {k: v if len(v) > 1 else v[0] for k, v in out.items()}
 
 
-def read_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """(headers, block) of each record of a file, gzip members or plain.  Stops
-    at the first bytes that are no record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+#: Compressed bytes that are unpacked at a time.
+_STEP = 1 << 18
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip members, in parts; ends where the data is damaged, cut or no longer gzip."""
     at = 0
-    while data.startswith(b"WARC/", at):
-        try:
-            _, headers, n = _split_head(data, at)
-            size = int(field(headers, "Content-Length", "0") or 0)
-        except ValueError:
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            some = data[at : at + _STEP]
+            try:
+                yield member.decompress(some)
+            except zlib.error:
+                return
+            at += len(some) - len(member.unused_data)
+        if not member.eof:
+            return
+
+
+def read_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """(headers, block) of each record of a file, gzip members or plain.
+
+    Ends at the first bytes that are no whole record: junk, a cut or damaged
+    file, a head without an end, a Content-Length that is no number.  Heads may
+    have any length.  Of a compressed file one record is held at a time.
+    """
+    parts = _unpacked(data) if data[:2] == b"\x1f\x8b" else iter((data,))
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        del held[:at]
+        at = 0
+        part = next(parts, None)
+        if part is not None:
+            held.extend(part)
+        return part is not None
+
+    while True:
+        while len(held) - at < 5 or held.startswith(b"\r\n", at):
+            if held.startswith(b"\r\n", at):
+                at += 2
+            elif not more():
+                return
+        if not held.startswith(b"WARC/", at):
             return
-        block = data[at + n : at + n + size]
-        if len(block) < size:
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", at + seen)) < 0:
+            seen = max(0, len(held) - at - 3)
+            if not more():
+                return
+        _, headers, n = _split_head(held, at, end)
+        length = field(headers, "Content-Length", "0") or "0"
+        if not (length.isascii() and length.isdigit()):
             return
-        yield headers, block
+        size = int(length)
+        while len(held) - at < n + size:
+            if not more():
+                return
+        yield headers, bytes(held[at + n : at + n + size])
         at += n + size
-        while data.startswith(b"\r\n", at):
-            at += 2
 
 
 def response_record(url: str, page: str, name: str, date: str = DATE) -> bytes:
@@ -127,6 +172,7 @@ def response_record(url: str, page: str, name: str, date: str = DATE) -> bytes:
 #: latest, so unclosed markup costs one pass.
 _MARKUP = regex.compile(r"<!--(?:.*?)(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", regex.S | regex.I)
 _ATTRIBUTE = regex.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_CHUNK_SIZE = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title body".split())
 _LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "form": "action"}
 
@@ -179,12 +225,50 @@ def read_page(page: str) -> tuple[str, dict]:
     return "\n".join(line for line in lines if line), info
 
 
-def _charset(content_type: str | None) -> str:
+#: Codecs of the language that are no charset of a page.
+_NO_CHARSETS = ("idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape")
+
+
+def _decoded(payload: bytes, content_type: str | None) -> str:
+    """The payload's text by the charset it names; as UTF-8 if it names none, an unknown one or one that is no text's."""
     found = regex.search(r"charset=[\"']?([\w-]+)", content_type or "", regex.I)
+    if found:
+        try:
+            if codecs.lookup(found[1]).name not in _NO_CHARSETS:
+                return payload.decode(found[1], "replace")
+        except (LookupError, ValueError):
+            pass
+    return payload.decode("utf-8", "replace")
+
+
+def _joined_chunks(body: bytes) -> bytes:
+    """The entity of a chunked body; the body itself if it is not chunked after
+    all, and the chunks up to the damage if some are broken."""
+    out, at = [], 0
+    while found := _CHUNK_SIZE.match(body, at):
+        size = int(found[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[found.end() : found.end() + size])
+        at = found.end() + size + 2
+    return b"".join(out) or body
+
+
+def _uncoded(entity: bytes, coding: str) -> bytes:
+    """The entity without its gzip, deflate or zstd coding; as it is if it was stored plain."""
     try:
-        return "utf-8" if not found else (b"".decode(found[1]), found[1])[1]
-    except LookupError:
-        return "utf-8"
+        if coding in ("gzip", "x-gzip"):
+            return zlib.decompressobj(31).decompress(entity)
+        if coding == "deflate":
+            try:
+                return zlib.decompressobj(15).decompress(entity)
+            except zlib.error:
+                return zlib.decompressobj(-15).decompress(entity)
+        if coding == "zstd":
+            return zstandard.ZstdDecompressor().decompressobj().decompress(entity)
+    except (zlib.error, zstandard.ZstdError):
+        pass
+    return entity
 
 
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
@@ -197,14 +281,11 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
         payload = block[n:]
     except ValueError:
         status, http, payload = "", [], block
-    encoding = (field(http, "Content-Encoding") or "").lower()
-    if encoding in ("gzip", "deflate"):
-        try:
-            payload = zlib.decompress(payload, 47 if encoding == "gzip" else 15)
-        except zlib.error:
-            pass  # told as deflate or gzip, stored plain
-    text, info = read_page(payload.decode(_charset(field(http, "Content-Type")), "replace"))
+    if "chunked" in (field(http, "Transfer-Encoding") or "").lower():
+        payload = _joined_chunks(payload)
     payload_digest = field(headers, "WARC-Payload-Digest") or digest(payload)
+    page = _uncoded(payload, (field(http, "Content-Encoding") or "").strip().lower())
+    text, info = read_page(_decoded(page, field(http, "Content-Type")))
     about = {
         "Envelope": {
             "WARC-Header-Metadata": named(headers),
@@ -252,17 +333,31 @@ def response_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id null, record binary) of the records of WARC files (.warc or .warc.gz) on any Spark file system."""
+    """(page_id null, record binary) of the records of WARC files (.warc or
+    .warc.gz) on any Spark file system.  A file is one task's work, below 2 GB
+    as stored; its records leave the task in batches of ``_BATCH`` bytes."""
+
+    def batch_of(records):
+        return pa.RecordBatch.from_arrays([pa.array([None] * len(records), pa.int64()), pa.array(records, pa.binary())], names=["page_id", "record"])
 
     def run(batches):
         for batch in batches:
             for content in column(batch, "content"):
-                some = [write_record(h, b) for h, b in read_records(content.as_py() or b"")]
-                yield pa.RecordBatch.from_arrays([pa.array([None] * len(some), pa.int64()), pa.array(some, pa.binary())], names=["page_id", "record"])
+                some, size = [], 0
+                for headers, block in read_records(content.as_py() or b""):
+                    some.append(write_record(headers, block))
+                    size += len(some[-1])
+                    if size >= _BATCH:
+                        yield batch_of(some)
+                        some, size = [], 0
+                yield batch_of(some)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, record binary")
 
 
+#: Bytes of records that a reading task hands on at a time.
+_BATCH = 32 << 20
+
 DERIVED = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, source_headers string, block string, record binary"
 
 

@@ -1,11 +1,17 @@
 """Classifier, chat, mixing, WARC, search and pipeline."""
 
+import base64
+import gzip
+import hashlib
 import json
 import random
 import re
+import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from ordspark.llm import chat, mixing, quality, topk_search, warc
@@ -29,6 +35,49 @@ def test_classifier_on_held_out_labels(spark):
     assert model.thresholds[0] <= model.thresholds[1]
 
 
+def test_classifier_gradient():
+    """The gradients are those of the likelihood, by finite differences; the likelihood is that of the grades' probabilities."""
+    r = np.random.default_rng(4)
+    grades, scores, t = r.integers(0, 3, 40), r.normal(size=40), np.array([-0.4, 0.7])
+    loss, by_score, by_threshold = quality.likelihood(scores, t, grades)
+    tails = lambda s: [1.0, *(1 / (1 + np.exp(x - s)) for x in t), 0.0]
+    assert loss == pytest.approx(-np.mean([np.log(tails(s)[g] - tails(s)[g + 1]) for s, g in zip(scores, grades)]))
+    step = 1e-6
+    for i in range(40):
+        up, down = (quality.likelihood(scores + d * np.eye(40)[i], t, grades)[0] for d in (step, -step))
+        assert by_score[i] == pytest.approx((up - down) / (2 * step), abs=1e-8)
+    for j in range(2):
+        up, down = (quality.likelihood(scores, t + d * np.eye(2)[j], grades)[0] for d in (step, -step))
+        assert by_threshold[j] == pytest.approx((up - down) / (2 * step), abs=1e-8)
+
+
+def test_classifier_query_against_plain_scores(spark):
+    """Every row of the query by the features and weights of its model, added up one by one."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: (r.expected_grade, r.p_top, r.kept) for r in QUERIES["op2_quality_classifier"](spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert set(got) == set(texts) and model.thresholds[0] <= model.thresholds[1]
+    for i, text in texts.items():
+        s = sum(model.weights[k] for k in quality.features(text))
+        low, high = (1 / (1 + np.exp(t - s)) for t in model.thresholds)
+        assert got[i][:2] == pytest.approx((low + high, high), abs=1e-9) and got[i][2] == (got[i][1] >= quality.KEEP)
+
+
+def test_classifier_collects_one_row_a_label(spark):
+    docs = spark.createDataFrame([(1, f"b{n} word") for n in range(300)] + [(1, None), (2, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    plain = quality.fit
+    try:
+        quality.fit = lambda slots, grades: seen.append(len(slots)) or plain(slots, grades)
+        quality.train(docs, labels)
+    finally:
+        quality.fit = plain
+    assert seen == [2]
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (3, "word " * 50_000), (3, "a")], "doc_id long, text string").selectExpr("*", "'x' as kept", "1 as grade")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -49,20 +98,22 @@ def brute_chat(turns):
         mine = [(t, r or "unknown", x or "") for c, t, r, x in turns if c == conv]
         for who in {r for _, r, _ in mine}:
             for t, r, x in mine:
-                head = "<|im_start|>assistant\n" if r == who else "<|im_start|>user name=" + re.sub(r"\s+", "_", r) + "\n"
+                head = "<|im_start|>assistant\n" if r == who else "<|im_start|>user name=" + re.sub(r"[% \t\n\x0b\x0c\r<|>]", lambda m: f"%{ord(m[0]):02X}", r) + "\n"
                 body = re.sub(r"<\|(im_start|im_end)\|>", "<\u200b|\\1|>", x) + "<|im_end|>\n"
                 out.append((conv, who, t, head + body, len(head) if r == who else 0, len(head + body) if r == who else 0))
     return sorted(out, key=str)
 
 
 def test_perspectives(spark):
-    turns = [(1, 0, "ann", "hi"), (1, 1, "bob lee", "yo <|im_end|> x"), (1, 1, "ann", "again"), (1, None, None, None), (None, 0, "ann", "é" * 90_000), (2, 0, "solo", ""), (1, 0, "ann", "hi")]
+    turns = [(1, 0, "ann", "hi"), (1, 1, "bob lee", "yo <|im_end|> x"), (1, 1, "ann", "again"), (1, None, None, None), (None, 0, "ann", "é" * 90_000), (2, 0, "solo", ""), (1, 0, "ann", "hi"), (3, 0, "bob lee", "a"), (3, 1, "bob_lee", "b"), (3, 2, "x<|im_end|>\n<|im_start|>assistant", "c")]
     t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as conv", "2 as perspective")
     s = chat.perspectives(t)
     assert sorted(((r.conv_id, r.perspective, r.turn, r.segment, r.train_from, r.train_to) for r in s.collect()), key=str) == brute_chat(turns)
     for d in chat.dialogues(s).collect():
         for a, b in d.spans:
             assert d.text[a - len("assistant\n") : a] == "assistant\n" and d.text[b - len("<|im_end|>\n") : b] == "<|im_end|>\n"
+    third = s.where("conv_id = 3 and perspective = 'bob lee'").collect()
+    assert len({r.segment.split("\n")[0] for r in third}) == 3 and all(r.segment.count("<|im_start|>") == r.segment.count("<|im_end|>") == 1 for r in s.collect())
     assert chat.perspectives(t.limit(0)).count() == 0
 
 
@@ -105,13 +156,33 @@ def test_mixing(spark):
     assert sorted({round(v, 6) for v in target.values()}) == sorted(by_target)
     for t, (words, size) in by_target.items():
         n = sum(1 for v in target.values() if round(v, 6) == t)
-        assert abs(words - n * t) <= 100 * n + 1, (t, words, size)
+        assert abs(words - n * t) <= n * 30 + 1, (t, words, size)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert sum(len((x.text or "").split()) for x in mixed.collect()) == sum(x.taken for x in got)
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def test_mixing_misses_targets_by_little(spark):
+    """Fifty documents a source, one of them a fifth of its words: below one per cent."""
+    r = random.Random(8)
+    docs = spark.createDataFrame([(n, "w " * (6_000 if n < 4 else r.randrange(1, 900)), "abcd"[n % 4]) for n in range(200)], "doc_id long, text string, source string")
+    for seed in (1, 2, 3):
+        got = mixing.mix_report(docs, seed=seed).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+        assert len(got) == 4 and all(abs(x.taken - x.target) < 0.01 * x.target for x in got), got
+
+
+def test_mixing_of_repeated_rows(spark):
+    """A third of the rows are one row: they share copies that differ by one, and fill no block."""
+    rows = [(1, "a b c d", "s")] * 3000 + [(n, "w " * (1 + n % 9), "st"[n % 2]) for n in range(10, 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).cache()
+    same = {r.taken: r.n for r in got.where("doc_id = 1").groupBy("taken").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got.count() == len(rows) and sum(same.values()) == 3000 and len(same) <= 2 and max(same) - min(same) in (0, 4)
+    mixed = mixing.mix(docs)
+    assert mixed.select(F.sum(F.regexp_count("text", F.lit("w|a|b|c|d")))).first()[0] == got.select(F.sum("taken")).first()[0]
+
+
 def test_rounding_is_unbiased(spark):
     docs = spark.createDataFrame([(n, "w " * (1 + n % 4), "ab"[n % 2]) for n in range(40)], "doc_id long, text string, source string")
     total = {}
@@ -156,8 +227,6 @@ def test_warc_tables(spark, tmp_path):
     assert len({r.record_id for r in out}) == 6 and all(b"\r\nX: y" not in bytes(r.record) for r in out)
     assert warc.derivatives(spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "page_id long, record binary")).count() == 0
     (tmp_path / "a.warc").write_bytes(b"".join(bytes(r.record) for r in records.collect()))
-    import gzip
-
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(bytes(r.record)) for r in records.collect()))
     assert warc.read_warc(spark, str(tmp_path)).count() == 8
     assert warc.derivatives(records.limit(0)).count() == 0
@@ -183,6 +252,127 @@ def test_warc_repeated_headers(spark):
     assert about["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"] == {"Set-Cookie": ["a=1", "b=2", "c=3"], "Server": "s"}
 
 
+def record(headers, block, length=None):
+    head = "".join(f"{k}: {v}\r\n" for k, v in headers)
+    return f"WARC/1.1\r\n{head}Content-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+WHOLE = record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>")], b"HTTP/1.1 200 OK\r\n\r\n<p>x</p>")
+
+
+@pytest.mark.parametrize(
+    "data, n",
+    [
+        (b"", 0),
+        (b"\x1f\x8b", 0),
+        (b"\x1f\x8bjunk junk junk", 0),
+        (gzip.compress(WHOLE)[:-20], 0),
+        (gzip.compress(WHOLE) + gzip.compress(WHOLE)[:30], 1),
+        (gzip.compress(WHOLE) + b"junk", 1),
+        (gzip.compress(WHOLE * 3), 3),
+        (b"".join(gzip.compress(WHOLE[i : i + 7]) for i in range(0, len(WHOLE), 7)), 1),
+        (WHOLE + WHOLE[:-9], 1),
+        (WHOLE + record([], b"x", "-40") * 2, 1),
+        (WHOLE + record([], b"x", "1_0"), 1),
+        (WHOLE + record([], b"x", "9" * 30), 1),
+        (record([("X-Long", "y" * 200_000)], b"block") + WHOLE, 2),
+        (gzip.compress(record([("X-Long", "y" * 2_000_000)], b"b" * 3_000_000)) + gzip.compress(WHOLE), 2),
+        (b"WARC/1.1\r\nno end", 0),
+        (b"junk" + WHOLE, 0),
+    ],
+)
+def test_warc_broken_files(data, n):
+    assert len(list(warc.read_records(data))) == n
+
+
+def conversion(http, body):
+    return warc.derive([("WARC-Type", "response")], "".join(f"{k}: {v}\r\n" for k, v in [("HTTP/1.1 200 OK", ""), *http]).replace("OK: ", "OK").encode() + b"\r\n" + body)[1][1].decode()
+
+
+def test_warc_bodies():
+    raw = zlib.compressobj(wbits=-15)
+    packed = {
+        "gzip": gzip.compress(b"<p>caf\xc3\xa9</p>"),
+        "deflate": zlib.compress(b"<p>caf\xc3\xa9</p>"),
+        "Deflate": raw.compress(b"<p>caf\xc3\xa9</p>") + raw.flush(),
+        "zstd": zstandard.ZstdCompressor().compress(b"<p>caf\xc3\xa9</p>"),
+        "GZIP": b"<p>caf\xc3\xa9</p>",
+        "unheard": b"<p>caf\xc3\xa9</p>",
+    }
+    for coding, body in packed.items():
+        assert conversion([("Content-Encoding", coding)], body) == "caf\u00e9"
+    for charset in ("undefined", "idna", "punycode", "rot13", "hex", "no-such", "utf-8"):
+        assert "caf" in conversion([("Content-Type", f"text/html; charset={charset}")], b"<p>caf\xc3\xa9</p>")
+    assert conversion([("Content-Type", 'text/html; charset="latin-1"')], b"caf\xe9") == "caf\u00e9"
+    chunked = [("Transfer-Encoding", "chunked")]
+    assert conversion(chunked, b"3\r\n<p>\r\n4;x=y\r\none \r\n3\r\ntwo\r\n0\r\n\r\n") == "one two"
+    assert conversion(chunked, b"<p>not chunked") == "not chunked"
+    assert conversion(chunked, b"5\r\n<p>ab\r\nbroken") == "ab"
+    assert conversion([*chunked, ("Content-Encoding", "gzip")], b"%x\r\n%s\r\n0\r\n\r\n" % (len(packed["gzip"]), packed["gzip"])) == "caf\u00e9"
+
+
+class Plain(HTMLParser):
+    """An independent reading of a page: text by blocks, title, links, meta tags."""
+
+    VOID = {"meta", "link", "img", "br", "hr", "input", "area", "source"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.title, self.links, self.metas, self.open = [], None, [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        attrs = {k: v or "" for k, v in attrs}
+        if tag in warc._LINKS and attrs.get(warc._LINKS[tag]):
+            self.links.append(attrs[warc._LINKS[tag]])
+        if tag == "meta" and attrs:
+            self.metas.append(attrs)
+        if tag in warc._BLOCKS:
+            self.out.append("\n")
+        if tag not in self.VOID:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in warc._BLOCKS:
+            self.out.append("\n")
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if "title" in self.open:
+            self.title = (self.title or "") + data
+        elif not {"script", "style", "noscript", "template", "head"} & set(self.open):
+            self.out.append(data)
+
+    def text(self):
+        lines = (" ".join(line.split()) for line in "".join(self.out).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def test_warc_query_against_another_parser(spark):
+    pages = {r.page_id: (r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    rows = QUERIES["op7_warc_derivatives"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 2 * len(pages) and len({r.record_id for r in rows}) == len(rows)
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    for r in rows:
+        url, html = pages[r.page_id]
+        p = Plain()
+        p.feed(html)
+        p.close()
+        source = json.loads(r.source_headers)
+        assert r.target_uri == url == source["WARC-Target-URI"] and r.refers_to == source["WARC-Record-ID"]
+        assert r.payload_digest == sha1(html.encode()) == source["WARC-Payload-Digest"]
+        assert r.block_digest == sha1(r.block.encode()) and r.content_length == len(r.block.encode())
+        if r.warc_type == "conversion":
+            assert r.block == p.text()
+        else:
+            found = json.loads(r.block)["Envelope"]
+            page = found["Payload-Metadata"]["HTTP-Response-Metadata"]
+            assert found["WARC-Header-Metadata"] == source and page["Entity-Length"] == len(html.encode())
+            assert [x["url"] for x in page["HTML-Metadata"]["Links"]] == p.links and page["HTML-Metadata"]["Metas"] == p.metas
+            assert page["HTML-Metadata"]["Title"] == (" ".join(p.title.split()) if p.title else None)
+
+
 # -- search
 
 
