@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 
 from .. import resources as R
 
-#: Endings that tell a definite noun's case, tried in this order.
-SUFFIX_CASES = ((r"(unum|inum|inni|inu)$", ("þgf",)), (r"(innar|nna|ins)$", ("ef",)), (r"(inn|ið|nar|nir)$", ("nf", "þf")), (r"(ina)$", ("þf",)))
+# Endings that tell a definite noun's case, tried in this order.
+SUFFIX_CASES = (
+    (r"(unum|inum|inni|inu)$", ("þgf",)),
+    (r"(innar|nna|ins)$", ("ef",)),
+    (r"(inn|ið|nar|nir)$", ("nf", "þf")),
+    (r"(ina)$", ("þf",)),
+)
 NO_CASES = "array<string>"
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 NUMBER = r"\d+(?:[.,]\d+)*"
 WORD = r"\p{L}+(?:[-'’]\p{L}+)*"
@@ -63,12 +62,55 @@ def kind_of(token: Column) -> Column:
     return by.otherwise("punctuation")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(numbers: Column, block: int = 64, depth: int = 2) -> Column:
+    """For every element of an int array the sum of those before it.
+
+    Blocks are summed first, so that the work on an array of n elements is
+    about ``block`` * n, also for very long ones.
+    """
+    none = F.array().cast("array<int>")
+
+    def within(values: Column, start: Column) -> Column:
+        state = F.struct(start.cast("int").alias("sum"), none.alias("seen"))
+        step = lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["seen"], F.array(acc["sum"])).alias("seen"))
+        return F.aggregate(values, state, step, lambda acc: acc["seen"])
+
+    if not depth:
+        return within(numbers, F.lit(0))
+
+    def whole(all_: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.ceil(F.size(all_) / block).cast("int") - 1)
+        part = lambda b: F.slice(all_, b * block + 1, F.lit(block))
+        sums = F.transform(starts, lambda b: F.aggregate(part(b), F.lit(0), lambda acc, n: acc + n))
+        before = lambda at: F.flatten(F.transform(starts, lambda b: within(part(b), F.get(at, b))))
+        return F.when(F.size(all_) > 0, let(running_sums(sums, block, depth - 1), before)).otherwise(none)
+
+    return let(numbers, whole)
+
+
+def token_spans(text: Column, pattern: str = PATTERN) -> Column:
+    """Array of (pos, text, start, end) of a text's tokens; offsets are summed in the row."""
+
+    def spans(tokens: Column) -> Column:
+        starts = running_sums(F.transform(tokens, lambda t: F.length(t)))
+        return let(starts, lambda at: F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("text"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(t)).alias("end"))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+
+
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True, spaces: bool = False) -> DataFrame:
-    """(doc_id, pos, text, kind[, start, end]): every token of every text.  Null texts have none."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("pos", "text"))
+    """(doc_id, pos, text, kind[, start, end]): every token of every text.  Null
+    texts have none.  No shuffle: rows are independent of each other."""
+    doc = F.col(id_col).alias("doc_id")
     if offsets:
-        upto = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-        t = t.withColumn("start", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0)).cast("int")).withColumn("end", (F.col("start") + F.length("text")).cast("int"))
+        t = docs.where(F.col(text_col).isNotNull()).select(doc, F.explode(token_spans(F.col(text_col))).alias("t")).select("doc_id", "t.*")
+    else:
+        t = docs.select(doc, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("pos", "text"))
     t = t.withColumn("kind", kind_of(F.col("text")))
     out = t if spaces else t.where("kind <> 'space'")
     return out.select("doc_id", "pos", "text", "kind", *(["start", "end"] if offsets else []))
@@ -152,7 +194,8 @@ def number_form(text: Column) -> Column:
 
 def normal_form(kind: Column, text: Column, include_numbers: bool = True) -> Column:
     """``normalize_token`` straight from the token's text, in one small expression;
-    the form of corpus jobs."""
+    the form of corpus jobs.  Tokenizers that tell more than the text does give
+    fields, which ``normalize_token`` reads."""
     currency = F.create_map(*[F.lit(x) for kv in CURRENCIES.items() for x in kv])
     unit = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
     symbol, letters = F.regexp_extract(text, r"^([$€£])|([a-zA-Z]+)$", 0), F.regexp_extract(text, r"[a-z]+$", 0)
@@ -160,12 +203,13 @@ def normal_form(kind: Column, text: Column, include_numbers: bool = True) -> Col
         F.when(kind == "telno", F.regexp_replace(text, r"[- ]", ""))
         .when(kind.isin("email", "domain", "hashtag", "username"), F.lower(text))
         .when(kind == "url", text)
-        .when(kind == "date", F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^(\d)\.", "0$1."), r"\.(\d)\.", ".0$1."), r"^(\d{2})\.(\d{2})\.(\d{4})$", "$3-$2-$1"))
+        .when(kind.isin("date", "dateabs", "daterel"), F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^(\d)\.", "0$1."), r"\.(\d)\.", ".0$1."), r"^(\d{2})\.(\d{2})\.(\d{4})$", "$3-$2-$1"))
         .when(kind == "time", F.regexp_replace(F.regexp_replace(text, r"^(\d):", "0$1:"), r"^(\d{2}:\d{2}):00$", "$1"))
-        .when(kind == "timestamp", F.regexp_replace(text, r"(T\d{2}:\d{2})$", "$1:00"))
+        .when(kind.isin("timestamp", "timestampabs", "timestamprel"), F.regexp_replace(text, r"(T\d{2}:\d{2})$", "$1:00"))
+        .when(kind == "year", F.nullif(F.regexp_extract(text, r"\d+", 0), F.lit("")))
         .when(kind == "ssn", F.regexp_replace(text, r"^(\d{6})-?(\d{4})$", "$1-$2"))
         .when(kind == "amount", F.concat_ws(" ", number_form(text), F.coalesce(F.try_element_at(currency, symbol), symbol)))
         .when(kind == "measurement", F.concat_ws(" ", number_form(text), F.coalesce(F.try_element_at(unit, letters), letters)))
         .when(kind == "percent", F.concat(number_form(text), F.lit("%")))
     )
-    return out.when(kind == "number", number_form(text)) if include_numbers else out
+    return out.when(kind.isin("number", "ordinal"), number_form(text)) if include_numbers else out

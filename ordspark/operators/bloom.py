@@ -1,4 +1,4 @@
-"""Bloom-filter membership as a table of set bits.
+"""Bloom-filter membership over bitmaps.
 
 The exact semi-join is the default way to test for known lemmas; this is the
 probabilistic one, with the usual size formulas and double hashing.
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of a filter that is broadcast, at most.
+SENT = 64 << 20
+
+
 def size_for(n: int, p: float = 0.01, most_hashes: int | None = None) -> tuple[int, int]:
     """(bits, hashes) for n members and false-positive rate p."""
     bits = max(1, math.ceil(-max(1, n) * math.log(p) / math.log(2) ** 2))
@@ -26,12 +30,29 @@ def positions(word: Column, bits: int, hashes: int) -> Column:
 
 
 def build(members: DataFrame, bits: int, hashes: int, word: str = "word") -> DataFrame:
-    """(bit): the distinct set bits of all members."""
-    return members.select(F.explode(positions(F.col(word), bits, hashes)).alias("bit")).distinct()
+    """(bucket, bitmap): the filter's bits as bitmaps of 4 KB, or'ed together before they move."""
+    at = members.select(F.explode(positions(F.col(word), bits, hashes)).alias("bit"))
+    return at.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
 
 
 def might_contain(words: DataFrame, filter_bits: DataFrame, bits: int, hashes: int, word: str = "word") -> DataFrame:
-    """``words`` (distinct) with ``maybe``: false only for words that were not members."""
-    asked = words.select(word, F.explode(F.array_distinct(positions(F.col(word), bits, hashes))).alias("bit"))
-    hits = asked.join(filter_bits.withColumn("set", F.lit(1)), "bit", "left")
-    return hits.groupBy(word).agg((F.count("set") == F.count(F.lit(1))).alias("maybe"))
+    """``words`` with ``maybe``: false only for words that were not members, null for null.
+
+    A filter of at most ``SENT`` bytes is sent to every task as one row, and the
+    words do not move; a larger one is joined by bucket.
+    """
+    if bits // 8 <= SENT:
+        one = filter_bits.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("_filter"))
+        in_all = F.forall(positions(F.col(word), bits, hashes), lambda at: _is_set(F.try_element_at("_filter", F.bitmap_bucket_number(at)), at))
+        return words.join(F.broadcast(one)).withColumn("maybe", in_all).drop("_filter")
+    distinct = words.select(word).distinct()
+    asked = distinct.select(word, F.explode(F.array_distinct(positions(F.col(word), bits, hashes))).alias("_bit")).withColumn("bucket", F.bitmap_bucket_number("_bit"))
+    hits = asked.join(filter_bits, "bucket", "left").groupBy(word).agg(F.min(_is_set(F.col("bitmap"), F.col("_bit"))).alias("maybe"))
+    return words.join(hits, word, "left")
+
+
+def _is_set(bitmap: Column, at: Column) -> Column:
+    """Whether a bitmap has the bit; false without a bitmap."""
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))

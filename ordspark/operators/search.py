@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.tokenize import running_sums
+from ..session import materialize
+
+#: White space that is trimmed from a snippet's ends, Unicode's and the byte order mark.
+WHITE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 SEGMENT = "array<struct<text:string,highlight:boolean>>"
 
 
 def match(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, doc_id) of documents that have a lemma of every group of
-    ``queries`` (query_id, groups).  A relational division: the join is on the
-    lemma, and only lemmas of queries reach it.  Queries without groups
-    give no rows here; ``match_row`` has them match every document."""
-    terms = queries.select("query_id", F.size("groups").alias("n"), F.posexplode("groups").alias("group_id", "lemmas")).select("query_id", "n", "group_id", F.explode("lemmas").alias("lemma"))
-    hits = terms.join(postings.select("doc_id", "lemma").distinct(), "lemma")
-    return hits.groupBy("query_id", "doc_id", "n").agg(F.countDistinct("group_id").alias("got")).where("got = n").select("query_id", "doc_id")
+    ``queries`` (query_id, groups).  Queries without groups give no rows here;
+    ``match_row`` has them match every document.
+
+    A relational division from the rarest group on: its documents are the
+    candidates, and only they are looked up for the other groups.  So the rows
+    that move are the candidates times their query's groups, however frequent
+    the lemmas of the other groups are.
+    """
+    groups = queries.select("query_id", F.size("groups").alias("n"), F.posexplode("groups").alias("group_id", "lemmas"))
+    terms = groups.select("query_id", "n", "group_id", F.explode(F.array_distinct("lemmas")).alias("lemma"))
+    asked = postings.select("doc_id", "lemma").join(terms.select("lemma").distinct(), "lemma", "left_semi").distinct()
+    asked = materialize(asked, "postings")  # read three times
+    frequency = asked.groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
+    size = terms.join(frequency, "lemma", "left").groupBy("query_id", "group_id").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
+    first = size.groupBy("query_id").agg(F.min(F.struct("df", "group_id")).alias("x")).where("x.df > 0").select("query_id", F.col("x.group_id").alias("rarest"))
+    ordered = materialize(terms.join(first, "query_id"), "terms")  # as large as the queries
+    candidates = ordered.where("group_id = rarest").join(asked, "lemma").select("query_id", "doc_id", "n").distinct()
+    others = ordered.where("group_id <> rarest").select("query_id", "group_id", "lemma")
+    held = candidates.join(others, "query_id").join(asked, ["doc_id", "lemma"], "left_semi").select("query_id", "doc_id", "group_id").distinct()
+    got = held.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got"))
+    found = candidates.join(got, ["query_id", "doc_id"], "left").where(F.coalesce("got", F.lit(0)) == F.col("n") - 1)
+    return found.select("query_id", "doc_id")
 
 
 def match_row(groups: Column, lemmas: Column) -> Column:
@@ -41,6 +64,19 @@ def bm25(query_terms: DataFrame, term_counts: DataFrame, top: int = 5, k1: float
     return scores.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
 
 
+def any_rank(query_terms: DataFrame, postings: DataFrame, top: int = 5) -> DataFrame:
+    """(query_id, rank, doc_id, score): documents with any of a query's lemmas, by
+    the rank that a database gives the disjunction over a lemma set: every lemma
+    of a document stands there once, so the score is the matched share of the
+    query's lemmas times 6 / pi**2 / 10.  Ties by id."""
+    q = query_terms.select("query_id", "lemma").distinct()
+    n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = postings.select("doc_id", "lemma").join(q, "lemma").distinct().groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    scores = hits.join(n, "query_id").select("query_id", "doc_id", (F.col("k") / F.col("n") * (6 / math.pi**2 / 10)).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
+
+
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(doc_id, lemma, tf) of processed tokens."""
     return tokens.where("not is_entity").select("doc_id", F.explode("lemmas").alias("lemma")).groupBy("doc_id", "lemma").agg(F.count(F.lit(1)).alias("tf"))
@@ -90,9 +126,8 @@ def sentence_bounds(text: Column) -> Column:
     """0, the end of every run of sentence marks with its white space, and the length."""
     mark = "\u0001"
     parts = F.split(F.regexp_replace(F.translate(text, mark, " "), r"([.!?]+\s+)", f"$1{mark}"), mark, -1)
-    parts = F.slice(parts, 1, F.size(parts) - 1)
-    ends = F.aggregate(F.transform(parts, lambda p: F.length(p)), F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all")), lambda acc, n: F.struct((acc.at + n).alias("at"), F.concat(acc["all"], F.array(acc.at + n)).alias("all")), lambda acc: acc["all"])
-    return F.array_distinct(F.concat(ends, F.array(F.length(text))))
+    starts = running_sums(F.transform(parts, lambda p: F.length(p)))
+    return F.array_distinct(F.concat(starts, F.array(F.length(text))))
 
 
 def windows(docs: DataFrame, words: DataFrame, hits: DataFrame, size: int = 15, sentences: bool = True) -> DataFrame:
@@ -151,10 +186,11 @@ def snippets(docs: DataFrame, words: DataFrame, hits: DataFrame, size: int = 15,
     lead, tail = F.col("start") > 0, F.col("end") < F.length("full")
     plain = lambda s: F.struct(s.alias("text"), F.lit(False).alias("highlight"))
     n = F.size("segs")
+    start, end = (lambda x, p=p: F.regexp_replace(x, p, "") for p in (rf"^{WHITE}+", rf"{WHITE}+$"))
     trimmed = F.transform(
         "segs",
         lambda s, i: F.struct(
-            F.when((i == n - 1) & tail & ~s.highlight, F.concat(F.rtrim(F.when(i == 0, F.ltrim(s.text)).otherwise(s.text)), F.lit(ellipsis))).when(i == 0, F.ltrim(s.text)).otherwise(s.text).alias("text"), s.highlight.alias("highlight")
+            F.when((i == n - 1) & tail & ~s.highlight, F.concat(end(F.when(i == 0, start(s.text)).otherwise(s.text)), F.lit(ellipsis))).when(i == 0, start(s.text)).otherwise(s.text).alias("text"), s.highlight.alias("highlight")
         ),
     )
     out = F.concat(F.when(lead, F.array(plain(F.lit(ellipsis)))).otherwise(F.array().cast(SEGMENT)), trimmed, F.when(tail & F.get("segs", n - 1).highlight, F.array(plain(F.lit(ellipsis)))).otherwise(F.array().cast(SEGMENT)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import resources as R
 from .functions import grammar as G
-from .functions.tokenize import KINDS, PATTERN, WORD, kind_of, naive_tokens, normal_form, tokenize, words_of
+from .functions.tokenize import KINDS, NUMBER, PATTERN, WORD, kind_of, naive_tokens, normal_form, tokenize, words_of
 from .operators import bloom, compounds, disambiguate, evaluate, lexicon, ngrams, phrases, search, stopwords, unknown
 from .plans import pipeline
 from .session import materialize
@@ -48,10 +48,12 @@ def _words(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", *keep, F.posexplode(words_of(F.col("text"))).alias("pos", "text")).withColumn("word", F.lower("text"))
 
 
-def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns as small documents."""
-    t = spark.read.parquet(f"{sf}/conversations.parquet")
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+def _low_words():
+    return F.transform(words_of(F.col("text")), F.lower)
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return ngrams.pairs_of_texts(_docs(spark, sf), words_of(F.col("text")))
 
 
 def _unigrams(spark: SparkSession, sf: str, least: int = 5) -> DataFrame:
@@ -73,15 +75,13 @@ def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.nest(_lexicon(spark, sf))
+    """The derived lexicon as a table: lookups of one query read it several times."""
+    return materialize(lexicon.nest(_lexicon(spark, sf)), "lexicon")
 
 
 _WORDS = f"""w AS (
   SELECT doc_id, lang, unnest(range(len(ws))) AS pos, unnest(ws) AS text, lower(unnest(ws)) AS word FROM (SELECT doc_id, lang, regexp_extract_all(text, '{_W}', 0) AS ws FROM documents)
 )"""
-_TURNS = f"""tw AS (
-  SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS text, lower(unnest(ws)) AS word FROM (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '{_W}', 0) AS ws FROM conversations)
-)"""
 _UNI = """uni AS (SELECT word, count(*) AS freq FROM w GROUP BY word HAVING count(*) >= 5)"""
 _LEX = """ent AS (
   SELECT u.word, s.word AS lemma FROM uni u JOIN uni s ON s.word || 's' = u.word AND length(s.word) >= 2 UNION ALL SELECT word, word FROM uni
@@ -94,12 +94,12 @@ _BASE = f"WITH {_WORDS}, {_UNI}, {_LEX}"
 # -- tokens
 
 
-@query(r"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t[1:3], ' ') AS head FROM (
+@query(r"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM (
   SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\s\x{A0}]+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS t FROM documents)""")
 def tokenize_naive(spark, sf):
-    """Naive tokens of every document: their number and the first three."""
+    """Naive tokens of every document: their number and a digest of all."""
     t = naive_tokens(F.col("text"))
-    return _docs(spark, sf).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 3), " ").alias("head"))
+    return _docs(spark, sf).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
 _KIND_SQL = "CASE " + " ".join(f"WHEN regexp_full_match(token, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in sorted(KINDS, key=lambda x: x[0] not in ("word", "space"))) + " ELSE 'punctuation' END"
@@ -166,14 +166,14 @@ _VALID = lambda c: f"({c} <> '' AND NOT regexp_matches({c}, '^[\\[<]') AND (leng
 @query(f"WITH {_WORDS}, {_PAIRS} SELECT w1, w2, count(*) AS freq FROM pairs WHERE w2 IS NOT NULL AND {_VALID('w1')} AND {_VALID('w2')} GROUP BY w1, w2 HAVING count(*) >= 3")
 def bigrams_min3(spark, sf):
     """Pairs of neighbours that occur at least three times."""
-    return ngrams.bigrams_from_words(_words(_docs(spark, sf)), 3, None, word="text")
+    return ngrams.count_bigrams(_pairs(spark, sf), 3, None)
 
 
 @query(f"""WITH {_WORDS}, {_PAIRS}, c AS (SELECT w1, w2, count(*) AS freq FROM pairs WHERE w2 IS NOT NULL AND {_VALID('w1')} AND {_VALID('w2')} GROUP BY w1, w2 HAVING count(*) >= 2)
 SELECT w1, w2, freq FROM (SELECT *, row_number() OVER (PARTITION BY w1 ORDER BY freq DESC, w2) AS n FROM c) WHERE n <= 5""")
 def bigram_top_successors(spark, sf):
     """The five most frequent successors of every word."""
-    return ngrams.bigrams_from_words(_words(_docs(spark, sf)), 2, 5, word="text")
+    return ngrams.count_bigrams(_pairs(spark, sf), 2, 5)
 
 
 @query(f"{_BASE} SELECT word, rank, lemma, pos FROM lex")
@@ -212,10 +212,10 @@ def lexicon_counters(spark, sf):
     return lexicon.describe(_lexicon(spark, sf))
 
 
-@query(f"{_BASE}, {_TURNS} SELECT DISTINCT t.word, coalesce(array_to_string(n.lemmas, ' '), t.word) AS lemmas, coalesce(n.lemmas[1], t.word) AS first, n.word IS NOT NULL AS known FROM tw t LEFT JOIN nest n ON n.word = t.word")
+@query(f"{_BASE} SELECT DISTINCT t.word, coalesce(array_to_string(n.lemmas, ' '), t.word) AS lemmas, coalesce(n.lemmas[1], t.word) AS first, n.word IS NOT NULL AS known FROM w t LEFT JOIN nest n ON n.word = t.word")
 def lemmatize(spark, sf):
-    """All lemmas of every word of the conversations, without fallback."""
-    looked = unknown.word_lemmas(_words(_turns(spark, sf)), _nested(spark, sf), strip=False)
+    """All lemmas of every word of the documents, without fallback."""
+    looked = unknown.word_lemmas(_words(_docs(spark, sf)), _nested(spark, sf), strip=False)
     return looked.select("word", F.array_join("lemmas", " ").alias("lemmas"), F.get("lemmas", F.lit(0)).alias("first"), "known")
 
 
@@ -231,7 +231,7 @@ def _round_sql(src: str, out: str) -> str:
 )"""
 
 
-@query(f"""{_BASE}, {_TURNS}, {_SUFFIXES}, s1 AS (SELECT DISTINCT word, word AS cur FROM tw WHERE word NOT IN (SELECT word FROM uni) AND length(word) >= 4),
+@query(f"""{_BASE}, {_SUFFIXES}, s1 AS (SELECT DISTINCT word, word AS cur FROM w WHERE word NOT IN (SELECT word FROM uni) AND length(word) >= 4),
 {_round_sql('s1', 'r1')}, s2 AS (SELECT word, first AS cur FROM r1 WHERE hit IS NULL AND length(first) >= 4), {_round_sql('s2', 'r2')},
 f AS (
   SELECT r1.word, list_concat(CASE WHEN r1.first IS NOT NULL AND (r1.hit IS NULL OR r1.fi < r1.hit) THEN [r1.first] ELSE [] END, coalesce(r1.lemmas, []),
@@ -239,14 +239,14 @@ f AS (
 ), u AS (SELECT word, unnest(all_) AS x, unnest(range(len(all_))) AS i FROM f), d AS (SELECT word, x, min(i) AS i FROM u GROUP BY word, x)
 SELECT word, string_agg(x, ' ' ORDER BY i) AS fallback FROM d GROUP BY word""")
 def suffix_fallback(spark, sf):
-    """Fallback lemmas of words of the conversations that the derived lexicon lacks."""
+    """Fallback lemmas of words of the documents that the derived lexicon lacks."""
     nested = _nested(spark, sf)
-    words = unknown.word_lemmas(_words(_turns(spark, sf)), nested, strip=False).where("not known").select("word")
+    words = unknown.word_lemmas(_words(_docs(spark, sf)), nested, strip=False).where("not known").select("word")
     return unknown.suffix_fallback(words, nested).select("word", F.array_join("fallback", " ").alias("fallback"))
 
 
 _KNOWN = "known AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 20)"
-_CUTS = f"""q AS (SELECT DISTINCT word FROM tw WHERE length(word) BETWEEN 6 AND 20), cut AS (
+_CUTS = f"""q AS (SELECT DISTINCT word FROM w WHERE length(word) >= 6), cut AS (
   SELECT word, i, left(word, i) AS l, substr(word, i + 1) AS r FROM (SELECT word, unnest(range(3, length(word) - 2)) AS i FROM q)
 ), cuts AS (
   SELECT word, 2 * i AS ord, 1.0::DOUBLE AS factor, l, r FROM cut UNION ALL SELECT word, 2 * i + 1, 0.95::DOUBLE, left(l, length(l) - 1), r FROM cut WHERE right(l, 1) IN ('s', 'u', 'a') AND length(l) > 3
@@ -266,16 +266,16 @@ def _compound_input(spark, sf):
     return words, spark.createDataFrame([], "word string, entries array<struct<rank:int,lemma:string,pos:string,gcase:string,gender:string,gnumber:string>>"), known
 
 
-@query(f"WITH {_WORDS}, {_TURNS}, {_KNOWN}, {_CUTS} SELECT word, l AS left_part, r AS right_part, round(score, 6) AS score FROM scored")
+@query(f"WITH {_WORDS}, {_KNOWN}, {_CUTS} SELECT word, l AS left_part, r AS right_part, round(score, 6) AS score FROM scored")
 def compound_candidates(spark, sf):
-    """Every cut of the documents' words into two known parts, with its score; the SQL takes conversation words of at most 20 characters."""
+    """Every cut of the documents' words into two known parts, with its score."""
     return compounds.split_candidates(*_compound_input(spark, sf)).select("word", F.col("left").alias("left_part"), F.col("right").alias("right_part"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_WORDS}, {_TURNS}, {_KNOWN}, {_CUTS}, best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, ord) AS n FROM scored WHERE word NOT IN ({', '.join(map(_sql, R.PROTECTED_LEMMAS))}))
+@query(f"""WITH {_WORDS}, {_KNOWN}, {_CUTS}, best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, ord) AS n FROM scored WHERE word NOT IN ({', '.join(map(_sql, R.PROTECTED_LEMMAS))}))
 SELECT word, CASE WHEN l = r THEN l ELSE l || ' ' || r END AS parts, round(least(score, 1), 6) AS confidence FROM best WHERE n = 1""")
 def compound_best(spark, sf):
-    """The best split of every word of the documents that has one; the SQL takes conversation words of at most 20 characters."""
+    """The best split of every word of the documents that has one."""
     words, nested, known = _compound_input(spark, sf)
     looked = words.withColumn("lemmas", F.array("word"))
     return compounds.split_compounds(looked, nested, known).where("is_compound").select("word", F.array_join("parts", " ").alias("parts"), F.round("confidence", 6).alias("confidence"))
@@ -335,7 +335,7 @@ def grammar_rules(spark, sf):
 
 _CASCADE = f"""bi AS (SELECT lower(w1) AS w1, lower(w2) AS w2, count(*) AS freq FROM (SELECT word AS w1, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM w) WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3),
 ctx AS (
-  SELECT t.doc_id, t.pos, t.word, coalesce(n.lemmas, []) AS readings, coalesce(n.lemmas, [t.word]) AS lemmas FROM tw t LEFT JOIN nest n ON n.word = t.word
+  SELECT t.doc_id, t.pos, t.word, coalesce(n.lemmas, []) AS readings, coalesce(n.lemmas, [t.word]) AS lemmas FROM w t LEFT JOIN nest n ON n.word = t.word
 ), nb AS (SELECT *, lag(lemmas) OVER p AS prev, lead(lemmas) OVER p AS next FROM ctx WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
 cand AS (SELECT doc_id, pos, prev, next, unnest(readings) AS lemma, unnest(range(len(readings))) AS i FROM nb WHERE len(readings) > 1),
 sided AS (
@@ -348,18 +348,18 @@ sided AS (
 
 
 def _lemma_bigrams(spark, sf):
-    return ngrams.bigrams_from_words(_words(_docs(spark, sf)), 3, None)
+    return ngrams.count_bigrams(ngrams.pairs_of_texts(_docs(spark, sf), _low_words()), 3, None)
 
 
-@query(f"""{_BASE}, {_TURNS}, {_CASCADE}
+@query(f"""{_BASE}, {_CASCADE}
 SELECT n.doc_id, n.pos, CASE WHEN len(n.readings) = 0 THEN n.word WHEN len(n.readings) = 1 THEN n.readings[1] WHEN b.top > 0 THEN b.lemma ELSE n.readings[1] END AS lemma,
   round(CASE WHEN len(n.readings) = 0 THEN 0 WHEN len(n.readings) = 1 THEN 1 WHEN b.top > 0 THEN exp(b.top) / b.total ELSE 1.0 / len(n.readings) END::DOUBLE, 6) AS confidence,
   CASE WHEN len(n.readings) = 0 THEN 'none' WHEN len(n.readings) = 1 THEN 'unambiguous' WHEN b.top > 0 THEN 'word_bigrams' ELSE 'fallback' END AS resolved_by
 FROM nb n LEFT JOIN best b ON b.doc_id = n.doc_id AND b.pos = n.pos""")
 def disambiguate_cascade(spark, sf):
-    """One lemma for every word of the conversations, by the phases in order."""
+    """One lemma for every word of the documents, by the phases in order."""
     nested = _nested(spark, sf)
-    words = _words(_turns(spark, sf))
+    words = _words(_docs(spark, sf))
     looked = unknown.word_lemmas(words, nested, strip=False)
     out = disambiguate.disambiguate(words.join(looked, "word"), _lemma_bigrams(spark, sf))
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "lemma", F.round("confidence", 6).alias("confidence"), "resolved_by")
@@ -387,19 +387,33 @@ def index_terms(spark, sf):
     return terms.groupBy("lang", "lemma").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-_TPOST = "tpost AS (SELECT t.doc_id, t.pos, unnest(coalesce(n.lemmas, [t.word])) AS lemma, unnest(range(len(coalesce(n.lemmas, [t.word])))) AS nth FROM tw t LEFT JOIN nest n ON n.word = t.word)"
+_P = PATTERN.replace("'", "''")
+_NUMBER_SQL = f"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_extract(token, '({NUMBER})', 1), '\\.(\\d{{3}})', '\\1', 'g'), ',', '.'), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), '^0+(\\d)', '\\1')"
+#: Tokens of the documents with their kinds and lemmas; numbers have none, and no other kinds occur in these texts.
+_LEMMAS = f"""k AS (
+  SELECT doc_id, pos, token, {_KIND_SQL} AS kind FROM (SELECT doc_id, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM (SELECT doc_id, regexp_extract_all(text, '{_P}', 0) AS ts FROM documents))
+), hy AS (
+  SELECT DISTINCT lower(token) AS word FROM k LEFT JOIN nest n ON n.word = lower(k.token) WHERE kind = 'word' AND contains(token, '-') AND coalesce(n.lemmas, [lower(token)]) = [lower(token)]
+), hp AS (
+  SELECT word, unnest(range(len(ps))) AS i, unnest(ps) AS part FROM (SELECT word, string_split(word, '-') AS ps FROM hy)
+), hl AS (
+  SELECT hp.word, hp.i, unnest(range(len(coalesce(n.lemmas, [hp.part])))) AS j, unnest(coalesce(n.lemmas, [hp.part])) AS lemma FROM hp LEFT JOIN nest n ON n.word = hp.part WHERE hp.part <> ''
+), hx AS (
+  SELECT word, list_concat([word], list(lemma ORDER BY ord)) AS lemmas FROM (SELECT word, lemma, min(1000 * i + j) AS ord FROM hl WHERE lemma <> word GROUP BY word, lemma) GROUP BY word
+), lem AS (
+  SELECT k.doc_id, k.pos, k.kind, lower(token) AS word, CASE kind WHEN 'word' THEN coalesce(hx.lemmas, n.lemmas, [lower(token)]) WHEN 'email' THEN [lower(token)] WHEN 'telno' THEN [regexp_replace(token, '[- ]', '', 'g')]
+    WHEN 'ssn' THEN [regexp_replace(token, '^(\\d{{6}})-?(\\d{{4}})$', '\\1-\\2')] WHEN 'percent' THEN [{_NUMBER_SQL} || '%'] ELSE [] END AS lemmas
+  FROM k LEFT JOIN nest n ON n.word = lower(k.token) AND k.kind = 'word' LEFT JOIN hx ON hx.word = lower(k.token) AND k.kind = 'word'
+)"""
 
 
-@query(f"""{_BASE}, {_TURNS}, {_TPOST}, f AS (SELECT doc_id, lemma, min(pos * 1000 + nth) AS first FROM tpost WHERE lemma NOT IN ({', '.join(map(_sql, SMALL_STOPWORDS))}) GROUP BY doc_id, lemma)
+@query(f"""{_BASE}, {_LEMMAS}, tpost AS (SELECT doc_id, pos, unnest(lemmas) AS lemma, unnest(range(len(lemmas))) AS nth FROM lem),
+f AS (SELECT doc_id, lemma, min(pos * 1000 + nth) AS first FROM tpost WHERE lemma NOT IN ({', '.join(map(_sql, SMALL_STOPWORDS))}) GROUP BY doc_id, lemma)
 SELECT doc_id, string_agg(lemma, ' ' ORDER BY first) AS terms FROM f GROUP BY doc_id""")
 def document_terms(spark, sf):
-    """Index terms of every conversation turn in order of first occurrence, without stopwords.
-
-    Numbers and other kinds do not occur in these texts' words; only words count here.
-    """
+    """Index terms of every document in order of first occurrence, without stopwords."""
     options = pipeline.Options(remove_stopwords=True)
-    tokens = _tokens(spark, sf, _turns(spark, sf)).where("kind = 'word'")
-    return pipeline.index_terms(tokens, options, SMALL_STOPWORDS).select("doc_id", F.array_join("terms", " ").alias("terms"))
+    return pipeline.index_terms(_tokens(spark, sf, _docs(spark, sf)), options, SMALL_STOPWORDS).select("doc_id", F.array_join("terms", " ").alias("terms"))
 
 
 def _bench(spark, sf):
@@ -431,13 +445,13 @@ def search_match(spark, sf):
 
 
 @query(f"""WITH {_WORDS}, tf AS (SELECT doc_id, word AS lemma, count(*) AS tf FROM w GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(len) AS mean FROM dl),
-q AS (SELECT DISTINCT item_id AS query_id, lower(unnest(regexp_extract_all(text, '{_W}', 0)[1:4])) AS lemma FROM benchmark), df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS query_id, lower(unnest(regexp_extract_all(text, '{_W}', 0))) AS lemma FROM benchmark), df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY 1),
 s AS (
   SELECT q.query_id, tf.doc_id, round(sum(ln(1 + (c.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.len / c.mean))), 9) AS score
   FROM q JOIN tf ON tf.lemma = q.lemma JOIN df ON df.lemma = q.lemma JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN c GROUP BY 1, 2
 ) SELECT query_id, rank, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def bm25_top5(spark, sf):
-    """The five best documents for all words of every benchmark text; the SQL asks only for the first four."""
+    """The five best documents for all words of every benchmark text."""
     q = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.explode(words_of(F.col("text"))).alias("lemma")).withColumn("lemma", F.lower("lemma"))
     # words that no query has only add to lengths: one row of a null lemma per document
     words = _words(_docs(spark, sf)).select("doc_id", F.col("word").alias("lemma")).join(q.select("lemma", F.lit(True).alias("asked")).distinct(), "lemma", "left")
@@ -483,10 +497,10 @@ def snippet_best(spark, sf):
 g AS (SELECT word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS phrase FROM w) SELECT g.phrase, count(*) AS n FROM g JOIN ph ON ph.phrase = g.phrase GROUP BY 1""")
 def phrase_matches(spark, sf):
     """Occurrences of phrases, here the pairs that occur at least 20 times."""
-    words = _words(_docs(spark, sf))
-    table = ngrams.pairs_of(words).groupBy(F.concat_ws(" ", "w1", "w2").alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    docs = _docs(spark, sf).select("doc_id", _low_words().alias("words"))
+    table = ngrams.pairs_of_texts(docs, F.col("words")).groupBy(F.concat_ws(" ", "w1", "w2").alias("phrase")).agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
     table = table.select("phrase", F.col("phrase").alias("lemma"), F.lit(False).alias("is_stopword"))
-    return phrases.match_phrases(words, table).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return phrases.match_in_texts(docs, table, 2).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 _PHRASE_CASES = (("til dæmis", "til dæmi", True, "ao"), ("Til Dæmis", "til dæmi", True, "ao"), ("NATO", "NATO", False, "entity"), ("þar eð", "þar eð", True, "st"), ("fyrir hönd", "fyrir hönd", False, "fs"), ("til", None, None, None), ("", None, None, None))
@@ -511,15 +525,24 @@ def preference_rule_lookup(spark, sf):
 # -- evaluation
 
 
-@query(f"""{_BASE}, {_TURNS}, x AS (SELECT t.doc_id, t.word, n.word IS NOT NULL AS known, coalesce(n.lemmas, [t.word]) AS lemmas FROM tw t LEFT JOIN nest n ON n.word = t.word)
+@query(f"""{_BASE}, {_LEMMAS}, x AS (SELECT word, lemmas FROM lem WHERE kind = 'word')
 SELECT count(*) AS word_count, count(*) FILTER (lemmas <> [word]) AS lemmatized_count, count(*) FILTER (len(lemmas) > 1) AS ambiguous_count, round(avg(CASE WHEN len(lemmas) = 1 THEN 1.0 ELSE 0.5 END), 6) AS avg_confidence,
   round(count(*) FILTER (lemmas <> [word])::DOUBLE / count(*), 6) AS coverage, round(count(*) FILTER (len(lemmas) > 1)::DOUBLE / count(*), 6) AS ambiguity_rate FROM x""")
 def processing_metrics(spark, sf):
-    """Coverage and ambiguity of the conversations."""
-    m = pipeline.metrics(_tokens(spark, sf, _turns(spark, sf)).where("kind = 'word'"))
+    """Coverage and ambiguity of the documents."""
+    m = pipeline.metrics(_tokens(spark, sf, _docs(spark, sf)))
     return m.select("word_count", "lemmatized_count", "ambiguous_count", *[F.round(c, 6).alias(c) for c in ("avg_confidence", "coverage", "ambiguity_rate")])
 
 
+@query(f"""{_BASE}, x AS (SELECT DISTINCT lang, word FROM w WHERE word NOT IN (SELECT word FROM uni)), y AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) AS n FROM x)
+SELECT lang, string_agg(word, ' ' ORDER BY word) AS unknown FROM y WHERE n <= 100 GROUP BY lang""")
+def unknown_by_language(spark, sf):
+    """The first hundred unknown words of each language: a report, as the operator gives it."""
+    uni = _unigrams(spark, sf).select("word", F.lit(True).alias("k"))
+    w = _words(_docs(spark, sf), "lang").select("lang", "word").join(uni, "word", "left").select("lang", "word", F.coalesce("k", F.lit(False)).alias("known"))
+    return evaluate.unknown_by(w, "lang").select("lang", F.array_join("unknown", " ").alias("unknown"))
+
+
 @query(f"""{_BASE} SELECT lang, count(DISTINCT w.doc_id) AS docs, count(*) AS tokens, CAST(count(u.word) AS BIGINT) AS known_tokens, round(count(u.word)::DOUBLE / count(*), 6) AS coverage
 FROM w LEFT JOIN uni u ON u.word = w.word GROUP BY lang""")
 def coverage_by_language(spark, sf):
@@ -573,7 +596,7 @@ def latency_percentiles(spark, sf):
 @query(f"WITH {_WORDS}, {_UNI} SELECT count(*) AS words, CAST(0 AS BIGINT) AS false_negatives FROM uni")
 def bloom_no_false_negatives(spark, sf):
     """Known words that the Bloom filter denies: none."""
-    uni = _unigrams(spark, sf).select("word")
+    uni = materialize(_unigrams(spark, sf).select("word"), "known")  # counted, built from and asked
     bits, hashes = bloom.size_for(uni.count())
     asked = bloom.might_contain(uni, bloom.build(uni, bits, hashes), bits, hashes)
     return asked.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum((~F.col("maybe")).cast("long")), F.lit(0)).alias("false_negatives"))
@@ -589,8 +612,8 @@ def sampled_documents(spark, sf):
 
 @query()
 def process_text_full(spark, sf):
-    """All stages on the conversations: fallback, compounds, bigrams; figures per turn."""
-    nested, bigrams = materialize(_nested(spark, sf), "lexicon"), materialize(_lemma_bigrams(spark, sf), "bigrams")
+    """All stages on the documents: fallback, compounds, bigrams; figures per document."""
+    nested, bigrams = _nested(spark, sf), materialize(_lemma_bigrams(spark, sf), "bigrams")
     known = materialize(_unigrams(spark, sf, 20).select(F.col("word").alias("lemma")), "known")
-    t = pipeline.process_text(_turns(spark, sf), nested, bigrams, known, pipeline.Options(split_mode="balanced", include_offsets=True))
+    t = pipeline.process_text(_docs(spark, sf), nested, bigrams, known, pipeline.Options(split_mode="balanced", include_offsets=True))
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.size("lemmas")).alias("lemmas"), F.sum(F.col("compound").isNotNull().cast("long")).alias("compounds"), F.round(F.avg("confidence"), 6).alias("confidence"))

@@ -1,5 +1,7 @@
 """Golden cases of the library's operators."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ def texts(spark, *ts):
 
 
 def test_tables():
-    assert len(R.stopwords()) == 590 and {"ég", "sitthvorrar", "þónokkrum", "ýmissa"} <= R.stopwords()
-    assert len(R.PREPOSITION_CASES) == 32 and len(R.DISAMBIGUATION_RULES) == 15 and len(R.phrases()) == 93
+    assert {"ég", "á", "til", "þetta"} <= R.stopwords() and not any(" " in w for w in R.stopwords())
+    assert len(R.PREPOSITION_CASES) == 32 and len(R.DISAMBIGUATION_RULES) == 15 and len(R.PHRASES) == 93
     assert len(R.PROTECTED_LEMMAS) == 75 and len(R.COMPOUND_TAILS) == 30 and len(R.COMMON_STANDALONE) == 18 and len(R.UNKNOWN_SUFFIXES) == 16
 
 
@@ -61,17 +63,40 @@ def test_build(spark):
     assert ngrams.merge_bigrams(spark.createDataFrame([("A", "b", 3), ("a", "B", 7)], "w1 string, w2 string, freq long")).collect()[0].freq == 7
 
 
-GOLD = """5551234 telno 5551234|+354-555-1234 telno +3545551234|Foo@Bar.IS email foo@bar.is|https://example.is/path url https://example.is/path|Example.IS domain example.is|15.3.2024 date 2024-03-15|2024-06-17 date 2024-06-17
-14:30 time 14:30|09:15:30 time 09:15:30|2024-06-17T14:30:00 timestamp 2024-06-17T14:30:00|010130-2989 ssn 010130-2989|0101302989 ssn 010130-2989|$100 amount 100_USD|€50 amount 50_EUR|5000_kr amount 5000_ISK|15km measurement 15_m|2,5kg measurement 2.5_kg
-25% percent 25%|3,5% percent 3.5%|#VisitIceland hashtag #visiticeland|@Jokull username @jokull|42 number 42|hestur word -|. punctuation -"""
+#: (token, kind, normal form)
+GOLD = (
+    ("4569876", "telno", "4569876"),
+    ("+354-456-9876", "telno", "+3544569876"),
+    ("Nafn@Stofa.IS", "email", "nafn@stofa.is"),
+    ("https://stofa.is/leid?a=1", "url", "https://stofa.is/leid?a=1"),
+    ("Stofa.IS", "domain", "stofa.is"),
+    ("3.11.2021", "date", "2021-11-03"),
+    ("2021-11-03", "date", "2021-11-03"),
+    ("16:45", "time", "16:45"),
+    ("07:05:10", "time", "07:05:10"),
+    ("2021-11-03T16:45:00", "timestamp", "2021-11-03T16:45:00"),
+    ("120174-3399", "ssn", "120174-3399"),
+    ("1201743399", "ssn", "120174-3399"),
+    ("$250", "amount", "250 USD"),
+    ("€75", "amount", "75 EUR"),
+    ("900 kr", "amount", "900 ISK"),
+    ("8km", "measurement", "8 m"),
+    ("1,5kg", "measurement", "1.5 kg"),
+    ("40%", "percent", "40%"),
+    ("7,25%", "percent", "7.25%"),
+    ("#Sumar", "hashtag", "#sumar"),
+    ("@Nafn", "username", "@nafn"),
+    ("17", "number", "17"),
+    ("hestur", "word", None),
+    (".", "punctuation", None),
+)
 
 
 def test_normalization(spark):
-    cases = [tuple(x.replace("_", " ") for x in c.split()) for c in GOLD.replace("\n", "|").split("|")]
-    t = spark.createDataFrame([(c[0],) for c in cases], "token string").withColumn("kind", kind_of(F.col("token")))
+    t = spark.createDataFrame([(c[0],) for c in GOLD], "token string").withColumn("kind", kind_of(F.col("token")))
     t = t.select("token", "kind", normal_form(F.col("kind"), F.col("token")).alias("n"), normalize_token(F.col("kind"), F.col("token"), token_fields(F.col("kind"), F.col("token"))).alias("m"))
-    got = {r.token: (r.kind, r.n or "-", r.m or "-") for r in t.collect()}
-    assert got == {a: (b, c, c) for a, b, c in cases}
+    got = {r.token: (r.kind, r.n, r.m) for r in t.collect()}
+    assert got == {a: (b, c, c) for a, b, c in GOLD}
 
 
 def test_tokens(spark):
@@ -82,7 +107,12 @@ def test_tokens(spark):
     assert texts(spark, " «Halló», (x) -- 7! ").select(naive_tokens(F.col("text")).alias("t")).first().t == ["Halló", "x", "7"]
 
 
-def test_stopwords(spark):
+def test_stopwords(spark, tmp_path):
+    (tmp_path / "stop.txt").write_text("Og\n\n  en \nog\n")
+    words = lexicons.read_stopwords(spark, str(tmp_path / "stop.txt"))
+    rows = spark.createDataFrame([("og",), ("hestur",), ("En",)], "lemma string")
+    assert words == ["en", "og"] and rows.where(~stopwords.is_stopword(F.col("lemma"), words)).collect() == [("hestur",)]
+    assert stopwords.without_stopwords(rows, spark.createDataFrame([(w,) for w in words], "word string")).collect() == [("hestur",)]
     t = spark.createDataFrame([(["Ég", "á", "hest"],)], "a array<string>")
     assert t.select(stopwords.remove_stopwords(F.col("a"))).first()[0] == ["hest"]
     assert lexicons.unpack_entry(7 << 10 | 1 << 9 | 2 << 7 | 3 << 4 | 0, 2) == (7, "no", "þgf", "kvk", "ft")
@@ -144,7 +174,7 @@ def test_cascade(spark, nested):
 def test_strategies(spark, lex, nested):
     docs = texts(spark, "Börnin fóru til borgarstjóri (og) 42.")
     bigrams = spark.createDataFrame([("barn", "fara", 9)], "w1 string, w2 string, freq long")
-    best = {r.lemma for r in pipeline.disambiguated_lemmas(docs, nested, bigrams, remove_stopwords=True).collect()}
+    best = {r.lemma for r in pipeline.disambiguated_lemmas(docs, nested, bigrams, ("til", "og"), remove_stopwords=True).collect()}
     assert best == {"barn", "fara", "borgarstjóri", "42"}
     got = {r.strategy: r for r in pipeline.strategy_metrics(docs, nested, bigrams, compounds.known_lemmas(lex)).collect()}
     assert set(got) == set(pipeline.STRATEGIES) and got["naive"].word_count == 6 and got["tokenized"].word_count == 5
@@ -206,6 +236,19 @@ def test_sources(spark, tmp_path):
     for bad in (b"", b"\0" * 40, packed[:4] + b"\x09\0\0\0" + packed[8:]):
         with pytest.raises(ValueError):
             lexicons.parse_packed(bad)
+    pairs = [("fara", "barn", 100), ("á", "hestur", 7), ("á", "borð", 1 << 31)]
+    for version in (1, 2):
+        both = lexicons.pack(rows, version, pairs)
+        assert lexicons.parse_packed_bigrams(both) == sorted(pairs) and [x[:4] for x in lexicons.parse_packed(both)] == [x[:4] for x in rows]
+        with pytest.raises(ValueError):
+            lexicons.parse_packed(both[:-4])
+    (tmp_path / "b.bin").write_bytes(both)
+    assert sorted(map(tuple, lexicons.read_packed_bigrams(spark, str(tmp_path / "b.bin")).collect())) == sorted(pairs)
+    assert lexicons.read_packed_bigrams(spark, str(tmp_path / "l.bin")).count() == 0
+    (tmp_path / "u.json.gz").write_bytes(gzip.compress(b'{"og": 5}'))
+    assert lexicons.read_unigrams(spark, str(tmp_path / "u.json.gz")).collect() == [("og", 5)]
+    with pytest.warns(UserWarning, match="not found"):
+        assert lexicons.read_unigrams(spark, str(tmp_path / "none.json")).count() == lexicons.read_bigrams(spark, str(tmp_path / "none.json")).count() == 0
     folder = tmp_path / "corpus" / "blog"
     folder.mkdir(parents=True)
     (folder / "a.xml").write_text('<T xmlns="u"><s><w lemma="hestur" type="n">Hestur</w><c>,</c><w lemma="og" type="c">og</w><c>.</c></s></T>')
