@@ -23,6 +23,7 @@ import base64
 import hashlib
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -230,9 +231,10 @@ class Codec:
         ids = self.transducer.encode(piece.encode())
         return b" ".join([self.digits[i] for i in ids]), b"".join([self.spelled[i] for i in ids])
 
-    def digests(self, text: str) -> tuple[int, str, str, bool]:
-        """(ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the
-        decoded text, whether it is the text), part by part."""
+    def digests(self, text: str, kept: list | None = None) -> tuple[int, str, str, bool]:
+        """(number of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of
+        the decoded text, whether it is the text), part by part.  ``kept`` takes
+        the ids, an int32 array for each part."""
         look, machine = self.written.__getitem__, Utf8Machine()
         ids_sha, text_sha, n, at, same = hashlib.sha256(), hashlib.sha256(), 0, 0, True
 
@@ -248,6 +250,8 @@ class Codec:
                 line = b" ".join([ids for ids, _ in found])
                 ids_sha.update(b" " + line if n else line)
                 n += line.count(b" ") + 1
+                if kept is not None:
+                    kept.append(np.fromstring(line, np.int32, sep=" "))
                 decoded(machine.feed(b"".join([spelled for _, spelled in found])))
         decoded(machine.finish())
         return n, ids_sha.hexdigest(), text_sha.hexdigest(), same and at == len(text)
@@ -311,8 +315,8 @@ def decode_ids(docs: DataFrame, ranks: str, ids_col: str = "token_ids", text_col
     return docs.drop(text_col).mapInArrow(run, schema)
 
 
-def codec_digests(docs: DataFrame, ranks: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip) for every row.
+def codec_digests(docs: DataFrame, ranks: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip[, token_ids]) for every row.
 
     Each whole text is encoded, its ids are decoded again, and both are
     digested part by part; a worker remembers the digits and the bytes of the
@@ -321,14 +325,20 @@ def codec_digests(docs: DataFrame, ranks: str, pattern: str = PATTERN, id_col: s
     The rank file is read by the driver and broadcast (a fixed file under 1 MB).
     """
     source = _read(docs, ranks)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", token_ids array<int>" if ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         codec = _codec(source.value, pattern)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
         for batch in batches:
-            rows = [codec.digests(cell.as_py() or "") for cell in column(batch, "text")]
-            columns = zip(*rows) if rows else ((),) * len(kinds)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *map(pa.array, columns, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+            kept = [] if ids else None
+            rows = [codec.digests(cell.as_py() or "", kept) for cell in column(batch, "text")]
+            columns = list(map(pa.array, zip(*rows) if rows else ((),) * len(kinds), kinds))
+            if ids:
+                ends = np.cumsum([0, *(row[0] for row in rows)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *kept]))))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *columns], names=names)
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return base.mapInArrow(run, schema)

@@ -84,6 +84,9 @@ def test_tables(spark):
         ids = ENC.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), True))
     assert got == sorted(want, key=str) or sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    with_ids = codec_digests(docs, RANKS, ids=True).collect()
+    assert sorted(((r.doc_id, r.token_ids) for r in with_ids), key=str) == sorted(((i, ENC.encode_ordinary(t or "")) for i, t in rows), key=str)
+    assert codec_digests(docs.limit(0), RANKS, ids=True).count() == 0
     counts = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs, JSON).collect()}
     assert (2, 0, 0, False) in counts and (1, 12, len(ENC.encode_ordinary("Hello wörld")), False) in counts
     assert {r.over_limit for r in token_counts(docs, JSON, limit=10).where("doc_id = 3").collect()} == {True}
