@@ -43,8 +43,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every row of the mix and what they decode to, digested."""
-    return codec_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """Token ids of every row of the mix, with digests of them and of what they decode to."""
+    return codec_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=True)
 
 
 STAGES = [
