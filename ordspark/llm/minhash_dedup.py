@@ -42,6 +42,8 @@ SURE = 0.64
 SMALL = 24
 #: Documents on one side of a block of comparisons.
 BLOCK = 256
+#: Pairs of a hub whose texts are confirmed together.
+CELL = 64
 #: Bytes of a document's sketch, and of its band keys (32 bits each) behind it.
 SKETCH = SLOTS // 2
 MARK = SKETCH + 4 * BANDS
@@ -245,12 +247,12 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, hub: str) -> DataFrame:
     """Pairs (hub, a, b) that hold on full sets.  A hub's pairs are dealt into
-    cells of about BLOCK documents on either side, and each cell gets every
+    cells of about CELL documents on either side, and each cell gets every
     text it needs once."""
     sizes = pairs.groupBy(hub).agg(F.approx_count_distinct("a").alias("na"), F.approx_count_distinct("b").alias("nb"))
-    # only hubs of more than one cell, one row for every BLOCK pairs at most: pairs of the others do not move
-    wide = table(sizes.where((F.col("na") > BLOCK) | (F.col("nb") > BLOCK)), "wide")
-    part = lambda x, n: F.pmod(F.xxhash64(x), F.coalesce(F.ceil(F.col(n) / BLOCK), F.lit(1)))
+    # only hubs of more than one cell, one row for every CELL pairs at most: pairs of the others do not move
+    wide = table(sizes.where((F.col("na") > CELL) | (F.col("nb") > CELL)), "wide")
+    part = lambda x, n: F.pmod(F.xxhash64(x), F.coalesce(F.ceil(F.col(n) / CELL), F.lit(1)))
     cells = pairs.join(wide, hub, "left").select(F.xxhash64(F.col(hub), part("a", "na"), part("b", "nb")).alias("cell"), "a", "b")
     cells = table(cells, "cells")
     needed = cells.select("cell", F.col("a").alias("doc")).union(cells.select("cell", F.col("b").alias("doc"))).distinct()
