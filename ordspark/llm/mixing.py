@@ -111,9 +111,9 @@ def grouped_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     largest = goal.agg(F.max("n")).first()[0] or 0
 
     g = goal.select(F.col("source").alias("of"), "source_size", F.col("n").alias("units"), "target", "source_id")
-    mean = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = sized.join(g, F.col("source").eqNullSafe(F.col("of"))).withColumn("mean", mean).withColumn("base", F.floor("mean"))
-    more = F.col("n") * (F.col("mean") - F.col("base"))  # rows that get one copy more, on average
+    more = F.when(F.col("size") > 0, F.col("n") * (F.col("mean") - F.col("base"))).otherwise(F.lit(0.0))  # rows that get one copy more, on average
     units = units.withColumn("more", more).withColumn("sure", F.floor("more")).withColumn("p", F.col("more") - F.col("sure"))
     row = F.struct("doc_id", "h", "source", "size", "n", "source_size", "target", "base", "sure")
     unit = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "h", F.lit(seed)).alias("h"), F.col("size").cast("double").alias("size"), "p", row.alias("row"))

@@ -451,3 +451,39 @@ def test_pipeline_dedup_stages_against_brute_force(spark):
     near = {r.doc_id: r.text for r in stages["minhash near-dedup"](spark, docs, None).collect()}
     group = classes(rows)
     assert near == {i: t for i, t in rows if group[i][1] == i} and len(near) < len(rows)
+
+
+def test_pipeline_other_stages_against_their_decisions(spark):
+    """The classifier's stage keeps what plain scores keep; the mixing stage's rows repeat as the report counts."""
+    import corpus_pipeline as P
+
+    sf, stages = "/root/testdata/sf0.001", dict(P.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    plain = lambda text: 1 / (1 + np.exp(model.thresholds[-1] - sum(model.weights[k] for k in quality.features(text or ""))))
+    kept = {r.doc_id: r.text for r in stages["quality classifier"](spark, docs, sf).collect()}
+    assert kept == {i: t for i, t in rows.items() if plain(t) >= quality.KEEP} and 0 < len(kept) < len(rows)
+    mixed = stages["mixing sources"](spark, docs, sf)
+    times = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert times == {r.doc_id: r.taken // r.size for r in mixing.mix_report(docs).collect() if r.taken}
+    ids = stages["byte-level bpe"](spark, docs, sf).collect()
+    assert all(len(r.token_ids) == r.n_tokens and hashlib.sha256(" ".join(map(str, r.token_ids)).encode()).hexdigest() == r.ids_sha256 for r in ids)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, a very long text, extra columns; and no rows at all."""
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, bands string, label int"
+    line = "a line of many words that says nothing new at all"
+    rows = [(1, f"{line}\n" * 4, "en", "s", 9, "x", 1), (1, f"{line}\n" * 4, "en", "s", 9, "x", 1), (2, None, None, None, None, None, None), (None, "no id here", None, "s", 1, None, 2), (3, "", "en", "t", 0, "", 3)]
+    rows += [(4, "word " * 200_000, "en", "s", 1_000_000, "y", 4), (2, "another text of the same id", "en", None, 1, "z", 5), (5, "\u00fc \U0001f600 \x00", "de", "t", 5, None, None)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, data in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        got = P.run(spark, str(folder)).collect()
+        assert all(r.round_trip and len(r.token_ids) == r.n_tokens for r in got)
+        assert {r.doc_id for r in got} <= {1, 2, 3, 4, 5, None} and (len(got) > 0) == (name == "some")
