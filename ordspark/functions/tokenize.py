@@ -74,36 +74,9 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def running_sums(numbers: Column, block: int = 64, depth: int = 2) -> Column:
-    """For every element of an int array the sum of those before it.
-
-    Blocks are summed first, so that the work on an array of n elements is
-    about ``block`` * n, also for very long ones.
-    """
-    none = F.array().cast("array<int>")
-
-    def within(values: Column, start: Column) -> Column:
-        state = F.struct(start.cast("int").alias("sum"), none.alias("seen"))
-        step = lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["seen"], F.array(acc["sum"])).alias("seen"))
-        return F.aggregate(values, state, step, lambda acc: acc["seen"])
-
-    if not depth:
-        return within(numbers, F.lit(0))
-
-    def whole(all_: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.ceil(F.size(all_) / block).cast("int") - 1)
-        part = lambda b: F.slice(all_, b * block + 1, F.lit(block))
-        sums = F.transform(starts, lambda b: F.aggregate(part(b), F.lit(0), lambda acc, n: acc + n))
-        before = lambda at: F.flatten(F.transform(starts, lambda b: within(part(b), F.get(at, b))))
-        return F.when(F.size(all_) > 0, let(running_sums(sums, block, depth - 1), before)).otherwise(none)
-
-    return let(numbers, whole)
-
-
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True, spaces: bool = False) -> DataFrame:
     """(doc_id, pos, text, kind[, start, end]): every token of every text.  Null
-    texts have none.  Offsets are running sums over a document's tokens: a window
-    takes a quarter of the time that ``running_sums`` needs for arrays of tokens."""
+    texts have none.  Offsets are running sums over a document's tokens, by a window."""
     t = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("pos", "text"))
     if offsets:
         upto = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.tokenize import running_sums
 from ..session import materialize
 
 #: White space that is trimmed from a snippet's ends, Unicode's and the byte order mark.
@@ -126,8 +125,11 @@ def sentence_bounds(text: Column) -> Column:
     """0, the end of every run of sentence marks with its white space, and the length."""
     mark = "\u0001"
     parts = F.split(F.regexp_replace(F.translate(text, mark, " "), r"([.!?]+\s+)", f"$1{mark}"), mark, -1)
-    starts = running_sums(F.transform(parts, lambda p: F.length(p)))
-    return F.array_distinct(F.concat(starts, F.array(F.length(text))))
+    parts = F.slice(parts, 1, F.size(parts) - 1)
+    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all"))
+    step = lambda acc, n: F.struct((acc.at + n).alias("at"), F.concat(acc["all"], F.array(acc.at + n)).alias("all"))
+    ends = F.aggregate(F.transform(parts, lambda p: F.length(p)), start, step, lambda acc: acc["all"])
+    return F.array_distinct(F.concat(ends, F.array(F.length(text))))
 
 
 def windows(docs: DataFrame, words: DataFrame, hits: DataFrame, size: int = 15, sentences: bool = True) -> DataFrame:
