@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keep
+from .common import column, keep, slices
 from .pretokens import PATTERN, Memo, splitter
 
 _NEVER = 1 << 62
@@ -322,6 +322,7 @@ def codec_digests(docs: DataFrame, ranks: str, pattern: str = PATTERN, id_col: s
     digested part by part; a worker remembers the digits and the bytes of the
     ids of pieces that it has seen.  Null texts are empty.  Null ids and repeated rows
     pass through; a very long text is handled as a stream of parts.  No shuffle.
+    Rows leave a few hundred at a time: neither side holds the ids of a whole batch.
     The rank file is read by the driver and broadcast (a fixed file under 1 MB).
     """
     source = _read(docs, ranks)
@@ -331,7 +332,7 @@ def codec_digests(docs: DataFrame, ranks: str, pattern: str = PATTERN, id_col: s
     def run(batches):
         codec = _codec(source.value, pattern)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-        for batch in batches:
+        for batch in slices(batches):
             kept = [] if ids else None
             rows = [codec.digests(cell.as_py() or "", kept) for cell in column(batch, "text")]
             columns = list(map(pa.array, zip(*rows) if rows else ((),) * len(kinds), kinds))

@@ -4,6 +4,7 @@ Arrow access and word/shingle hashing over raw UTF-8 bytes."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -79,6 +80,15 @@ def release(owner: str) -> None:
         _kept.clear()
         _owner = owner
         gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
 
 
 def keep(owner: str, key, make):
@@ -109,6 +119,13 @@ def byte_rows(col):
     return data, offs
 
 
+def slices(batches, rows: int = 256):
+    """The batches in pieces of at most so many rows (an empty batch stays one)."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 

@@ -93,3 +93,18 @@ def test_tables(spark):
     back = decode_ids(encode_texts(docs.select("doc_id", "text"), RANKS), RANKS)
     assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, docs.fillna("", "text").select("doc_id", "text").collect()))
     assert codec_digests(docs.limit(0), RANKS).count() == 0 and token_counts(docs.limit(0), JSON).count() == 0
+
+
+def test_ids_leave_in_small_batches(spark, monkeypatch):
+    """A batch of many rows is not held together with the ids of all of them."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    codec_digests(docs, RANKS, ids=True)
+    texts = [f"row {i}" if i % 7 else None for i in range(2001)]
+    got = list(runs[0](iter([pa.RecordBatch.from_arrays([pa.array(range(2001)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert max(b.num_rows for b in got) <= 256
+    told = pa.Table.from_batches(got).to_pylist()
+    assert [r["doc_id"] for r in told] == list(range(2001)) and [r["token_ids"] for r in told] == [ENC.encode_ordinary(t or "") for t in texts]
